@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact_dedup, packing, pii, warc
+from skein.llm import decontaminate, exact_dedup, near_dedup, packing, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve_revisits(warc.page_records(_table(spark, sf_dir, "pages")))
     joined = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
@@ -41,7 +45,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[: pii.BASE]], F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_revisits, op4_exact_dedup, op7_packing, op8_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_revisits, op4_exact_dedup, op7_packing, op8_pii)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
