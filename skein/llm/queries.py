@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact_dedup, near_dedup, packing, pii, warc
+from skein.llm import decontaminate, exact_dedup, near_dedup, packing, pii, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[: pii.BASE]], F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_revisits, op4_exact_dedup, op7_packing, op8_pii)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_revisits, op4_exact_dedup, op7_packing, op8_pii, op9_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
