@@ -9,9 +9,10 @@ shingle sets decide.
 
 Copies are folded first: texts with one shingle set are one class, and only one of a class
 goes on.  In a bucket the members are not paired with each other.  First each is held
-against the bucket's smallest id, and the confirmed links are closed to components.  Then
-only members of one bucket that are still in different components are compared, block by
-block, so that a large group of near copies costs one link per member.
+against the bucket's smallest id, and the confirmed links are closed to components.  Components
+that the estimate still finds alike in some bucket form a family; the members of a family
+are held against each other on their whole sets in blocks of bounded size, which give back only the links
+that join components.  So a large group of near copies costs about one link per member.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ MANTISSA = 10
 THRESHOLD = 75  # per cent
 #: Five standard deviations of an estimate of 0.75 from 128 registers.
 MARGIN = 0.2
-#: Sets this small go to verification without an estimate.
-SMALL = 16
-CHUNK = 512
+#: Members of a bucket, and of a family, that one block takes from either side.
+BUCKET_CHUNK = 512
+FAMILY_CHUNK = 128
 
 _VALUE_BITS = 64 - BUCKET_BITS
 _BORROW = np.argsort(K.mix(np.arange(1, 64 * REGISTERS + 1, dtype=np.uint64)).reshape(64, REGISTERS) % np.uint64(1 << 31), axis=1)
@@ -123,7 +124,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def _plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     lo, hi = np.minimum(n, m), np.maximum(n, m)
-    return (100 * lo >= THRESHOLD * hi) & ((lo < SMALL) | (estimate(a, b, n, m) >= THRESHOLD / 100 - MARGIN))
+    return (100 * lo >= THRESHOLD * hi) & (estimate(a, b, n, m) >= THRESHOLD / 100 - MARGIN)
 
 
 def _sig(column: pa.Array) -> np.ndarray:
@@ -150,47 +151,83 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components inside each (bucket, chunk, chunk) group; rows arrive sorted by group."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of the rows of one group each; rows arrive sorted by group."""
     rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        cols = [t.column(c).to_numpy() for c in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        edges = [0, *cut.tolist()]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield t.slice(a, b - a)
+        rest = t.slice(edges[-1])
+    if rest is not None and len(rest):
+        yield rest
+
+
+class _Union:
+    """Joins labels; tells which links joined two that were apart."""
+
+    def __init__(self) -> None:
+        self.top: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (t := self.top.get(x, x)) != x:
+            self.top[x] = x = self.top.get(t, t)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.top[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _pairs_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    def pairs(t: pa.Table) -> pa.RecordBatch | None:
-        rep, comp, n, band = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "band"))
-        lead, own, i, j = (t.column(c).to_numpy() for c in ("leader", "own", "i", "j"))
+
+def _alike_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components that some pair of a bucket makes likely to be linked; of several such pairs only those that join something new."""
+    for t in _groups(batches, ("key", "i", "j")):
+        comp, n, own, i, j = (t.column(c).to_numpy() for c in ("comp", "n", "own", "i", "j"))
         sig = _sig(t.column("sig").combine_chunks())
         left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        found = []
+        known, links = _Union(), []
         for at in range(0, len(left), 64):
             x = left[at : at + 64]
-            ok = (comp[x][:, None] != comp[right][None, :]) & (rep[x][:, None] != lead[0]) & (rep[right][None, :] != lead[0])
-            if i[0] == j[0]:
-                ok &= rep[x][:, None] < rep[right][None, :]
-            a, b = np.nonzero(ok)
-            if not len(a):
-                continue
+            a, b = np.nonzero(comp[x][:, None] != comp[right][None, :])
             a, b = x[a], right[b]
             good = _plausible(sig[a], sig[b], n[a], n[b])
-            a, b = a[good], b[good]
-            if len(a):  # one pair is told once, by its first common band
-                same = (sig[a].reshape(-1, BANDS, ROWS) == sig[b].reshape(-1, BANDS, ROWS)).all(axis=2)
-                first = same.argmax(axis=1) == band[a]
-                found.append((np.minimum(rep[a], rep[b])[first], np.maximum(rep[a], rep[b])[first]))
-        if found:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["a", "b"])
-        return None
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        edges = [0, *cut.tolist()]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if (out := pairs(t.slice(a, b - a))) is not None:
-                yield out
-        rest = t.slice(edges[-1])
-    if rest is not None and len(rest) and (out := pairs(rest)) is not None:
-        yield out
+            for p, q in zip(comp[a[good]].tolist(), comp[b[good]].tolist(), strict=True):
+                if known.join(p, q):
+                    links.append((p, q))
+        if links:
+            yield _pairs_of(links)
+
+
+def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links between members of different components, on whole sets; those that join something new."""
+    for t in _groups(batches, ("family", "i", "j")):
+        rep, comp, minor = t.column("rep").to_pylist(), t.column("comp").to_numpy(), t.column("minor").to_numpy()
+        sets: list[np.ndarray] = []
+        for _, _, part, at in K.blocks(*K.flat(t.column("_text"))):
+            sets += shingle_hashes(part, at)
+        size = np.array([len(x) for x in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        known, links = _Union(), []
+        for x in np.flatnonzero(minor).tolist():
+            has = np.zeros(int(code.max()) + 1, np.int64)
+            has[code[ends[x] - size[x] : ends[x]]] = 1
+            common = np.add.reduceat(has[code], ends - size)
+            good = (100 * common >= THRESHOLD * (size + size[x] - common)) & (comp != comp[x]) & ~minor
+            for y in np.flatnonzero(good).tolist():
+                if known.join(int(comp[x]), int(comp[y])):
+                    links.append((rep[x], rep[y]))
+        if links:
+            yield _pairs_of(links)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +258,38 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
+def _between(reps: DataFrame, comp: DataFrame, family: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of each family, found on whole sets.
+
+    Members of a family's largest component need not be held against each other.  All others
+    (minor members) meet every member, in blocks of bounded size: a block has one chunk of
+    minor members and one chunk of all.
+    """
+    family = family.select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+    placed = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = scratch.write(placed.join(family, "comp"), "near-family")
+    parts = placed.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    stats = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    stats = scratch.write(stats.select("family", "all", (F.col("all") - F.col("top.n")).alias("few"), F.col("top.comp").alias("major")), "near-family-sizes")
+    need = scratch.write(placed.select(F.col("rep").alias("_id")), "near-family-ids")
+    held = scratch.write(texts.join(need, "_id", "left_semi").dropDuplicates(["_id"]).withColumnRenamed("_id", "rep"), "near-family-texts")
+
+    def chunk(of: str, salt: int):
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(of) / FAMILY_CHUNK)).cast("int")
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0), F.ceil(F.col(of) / FAMILY_CHUNK).cast("int") - 1))
+
+    rows = placed.join(stats, "family")
+    right = rows.select("family", "rep", "comp", chunk("all", 1).alias("j"), every("few").alias("i"), F.lit(False).alias("minor"))
+    left = rows.filter("comp <> major").select("family", "rep", "comp", chunk("few", 2).alias("i"), every("all").alias("j"), F.lit(True).alias("minor"))
+    both = scratch.write(right.unionByName(left), "near-family-blocks").join(held, "rep")
+    dealt = both.repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
+    links = scratch.write(dealt.mapInArrow(_family_links, "a long, b long"), "near-family-links")
+    scratch.drop(placed, stats, need, held)
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` (long), n_shingles, component_id, kept.
 
@@ -259,13 +328,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = scratch.write(part, "near-parts")
     still = scratch.write(part.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "near-open")
     rows = part.join(still, "key", "left_semi").join(light, "rep")
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("members") / BUCKET_CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select("key", "band", "leader", "rep", "comp", "n", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("key", "comp", "n", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    more = scratch.write(dealt.mapInArrow(_block_pairs, "a long, b long"), "near-rest")
-    if not more.isEmpty():
-        links = links.unionByName(_verify(more, texts))
+    alike = scratch.write(dealt.mapInArrow(_alike_components, "a long, b long"), "near-alike")
+    scratch.drop(part, still)
+    if not alike.isEmpty():
+        links = links.unionByName(_between(reps.select("rep"), comp, components(alike), texts))
         comp = components(links)
 
     copies = reps.filter("copies > 1").select("k1", "k2", "n", "rep")
