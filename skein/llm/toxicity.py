@@ -20,14 +20,16 @@ from skein.llm.text import own_columns
 
 #: Letters a-z and all non-ASCII bytes make words.
 IS_WORD = K.word_set([(0x00, 0x60), (0x7B, 0x7F)])
-HASH_BITS = 18
+HASH_BITS = 22
 PREFIXES = (3, 4, 5, 6)
 #: Bounds of the training sample: rows with label 1, rows with label 0.
 SAMPLE = (2000, 4000)
-MAX_TERMS = 1024
+MAX_TERMS = 2048
 LEAST_Z = 4.0
+#: Weight of a row with label 1 in the fit, for each row with label 0.
+POSITIVE_WEIGHT = 6.0
 RANK = 8
-STEPS = 200
+STEPS = 300
 REJECT = 0.7
 
 
@@ -58,7 +60,7 @@ class Machine:
     factors: np.ndarray
 
     def score(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        slot = self.slots[term]
+        slot = self.slots[term].astype(np.int64)
         known = slot >= 0
         width = len(self.linear)
         cell = np.unique(doc[known] * width + slot[known]) if width else np.zeros(0, np.int64)
@@ -75,7 +77,7 @@ class Machine:
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """A machine from each row's distinct hashed terms.  Without rows of both labels it always gives the share of label 1."""
     size, pos, neg = 1 << HASH_BITS, int(labels.sum()), int((1 - labels).sum())
-    slots = np.full(size, -1, np.int64)
+    slots = np.full(size, -1, np.int16)
     if not pos or not neg:
         share = pos / max(1, pos + neg)
         return Machine(slots, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, RANK)))
@@ -94,15 +96,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
         s = slots[r]
         x[i, s[s >= 0]] = 1
     y = labels.astype(np.float32)
+    weight = np.where(y == 1, POSITIVE_WEIGHT, 1.0).astype(np.float32)
+    weight /= weight.sum()
     rng = np.random.default_rng(seed)
     w = [np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), RANK)).astype(np.float32)]
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in w]
     for step in range(1, STEPS + 1):
         xv = x @ w[2]
         out = w[0] + x @ w[1] + ((xv**2).sum(1) - x @ (w[2] ** 2).sum(1)) / 2
-        g = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - y) / len(y)
+        g = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - y) * weight
         gx = x.T @ g
-        grads = [g.sum(keepdims=True), gx + 1e-4 * w[1], x.T @ (g[:, None] * xv) - gx[:, None] * w[2] + 1e-3 * w[2]]
+        grads = [g.sum(keepdims=True), gx + 1e-4 * w[1], x.T @ (g[:, None] * xv) - gx[:, None] * w[2] + 1e-4 * w[2]]
         for a, d, (m, v) in zip(w, grads, moments, strict=True):
             m += 0.1 * (d - m)
             v += 0.001 * (d * d - v)
