@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact_dedup, near_dedup, packing, pii, suffix_dedup, token_files, toxicity, warc
+from skein.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.word_tokens())
 
@@ -61,7 +66,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_revisits, op4_exact_dedup, op5_toxicity, op7_packing, op8_pii, op9_suffix_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_revisits, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_packing, op8_pii, op9_suffix_dedup, op10_token_files)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """

@@ -97,3 +97,30 @@ def personal(text):
     names = ("email", "ip", "card", "phone")
     counts = [sum(k == i for _, k, _ in found) for i in range(4)]
     return (*counts, sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)))
+
+
+def lines(docs, percent=85):
+    sets, at = {}, defaultdict(list)
+    for d, t in docs:
+        for no, line in enumerate((t or "").split("\n")):
+            w = frozenset(x for x in re.split(r"[ \t\r\f\x0B]+", line.translate(LOWER)) if x)
+            sets[d, no] = w
+            at[w].append((d, no))
+    classes = [w for w in at if w]
+    links = Counter()
+    late = set()
+    for i, a in enumerate(classes):
+        for b in classes[i + 1 :]:
+            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                continue
+            n = len(a & b)
+            if 100 * n >= percent * (len(a) + len(b) - n):
+                links[a] += 1
+                links[b] += 1
+                late.add(a if min(at[a]) > min(at[b]) else b)
+    out = {}
+    for d, t in docs:
+        rows = [(no, sets[d, no]) for no in range(len((t or "").split("\n")))]
+        removed = [no for no, w in rows if w and (w in late or (d, no) != min(at[w]))]
+        out[d] = (len(rows), len(removed), sum(links[w] for _, w in rows), ",".join(map(str, removed)))
+    return out
