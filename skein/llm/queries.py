@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, suffix_dedup, token_files, toxicity, warc
+from skein.llm.shipping import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +69,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_revisits, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_packing, op8_pii, op9_suffix_dedup, op10_token_files)}
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = (
+    op1_decontamination,
+    op2_near_dedup,
+    op3_revisits,
+    op4_exact_dedup,
+    op5_toxicity,
+    op6_line_dedup,
+    op7_packing,
+    op8_pii,
+    op9_suffix_dedup,
+    op10_token_files,
+)
+QUERIES = {f.__name__: _shipped(f) for f in _ALL}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
