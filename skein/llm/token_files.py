@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
 END_ID = 0
 SHARD_BYTES = 24 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Cuts of the byte-level tokenizer, for texts without the characters below.
@@ -37,17 +38,21 @@ _UNSAFE = re.compile(rf"[^\x20-\x7e\n\t\r{_LETTERS}‐-‧]")
 
 
 class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids."""
+    """Encodes texts as little-endian unsigned ids, of 16 bits where the vocabulary allows and of 32 bits otherwise."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype(id_dtype(self.tokenizer.get_vocab_size()))
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[str, bytes] = {}
+        lone = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_break = lone[0] if len(lone) == 1 else None
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _UNSAFE.search(text) or any(s in text for s in self.special):
@@ -59,21 +64,48 @@ class Encoder:
             pass
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        new = list({p for p in pieces if p not in cache})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
+        self._learn([p for p in set(pieces) if p not in cache])
         return b"".join([cache[p] for p in pieces])
 
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces in one call, a line each: the break is a piece and one id of its own, which no other piece holds."""
+        lines = [p for p in new if not p.isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, self.dtype) if lines else np.zeros(0, self.dtype)
+        cuts = np.flatnonzero(ids == self.line_break) if self.line_break is not None else []
+        if len(cuts) == len(lines) - 1:
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            at = 0
+            for p, cut in zip(lines, [*cuts.tolist(), len(ids)], strict=True):
+                self.cache[p] = raw[at * width : cut * width]
+                at = cut + 1
+        for p in new:
+            if p not in self.cache:
+                self.cache[p] = self._whole(p)
 
-def file_schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+
+#: One encoder for each Python worker, so that tasks share what was learnt.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def id_dtype(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def file_schema(sequence: int, dtype: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 def _sequences(ids: np.ndarray, n_real: int, sequence: int) -> pa.RecordBatch:
     mask = np.arange(len(ids)) < n_real
     return pa.RecordBatch.from_arrays(
-        [pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint32()), sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence)],
-        schema=file_schema(sequence),
+        [pa.FixedSizeListArray.from_arrays(pa.array(ids), sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence)],
+        schema=file_schema(sequence, ids.dtype),
     )
 
 
@@ -95,18 +127,18 @@ def _write_shard(folder: str, tokenizer: str, sequence: int):
         part = TaskContext.get().partitionId()
         # a name of its own for every attempt: a task that runs twice never writes into a file that is read
         stem = f"{part:06d}-{uuid.uuid4().hex[:8]}"
-        encoder = None
+        encoder = encoder_of(tokenizer)
+        dtype = encoder.dtype
         index: list[tuple[object, int, int]] = []
         total, held, held_n, step = 0, [], 0, sequence * SEQUENCES_PER_BATCH
         kind = None
-        with files.open_output_stream(f"{root}/{stem}.ids.arrow") as sink, pa.ipc.new_file(sink, file_schema(sequence)) as writer:
+        with files.open_output_stream(f"{root}/{stem}.ids.arrow") as sink, pa.ipc.new_file(sink, file_schema(sequence, dtype)) as writer:
             for batch in batches:
-                encoder = encoder or Encoder(tokenizer)
                 kind = batch.schema.field(0).type
                 for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = np.frombuffer(encoder.encode(text.as_py() or ""), "<u4")
+                    ids = np.frombuffer(encoder.encode(text.as_py() or ""), dtype)
                     index.append((key.as_py(), total, len(ids) + 1))
-                    held += [ids, np.array([END_ID], "<u4")]
+                    held += [ids, np.array([END_ID], dtype)]
                     held_n += len(ids) + 1
                     total += len(ids) + 1
                     if held_n >= step:
@@ -117,7 +149,7 @@ def _write_shard(folder: str, tokenizer: str, sequence: int):
                         held, held_n = [flat[full:]], held_n - full
             if held_n:
                 flat = np.concatenate(held)
-                padded = np.zeros(-(-held_n // sequence) * sequence, "<u4")
+                padded = np.zeros(-(-held_n // sequence) * sequence, dtype)
                 padded[:held_n] = flat
                 writer.write_batch(_sequences(padded, held_n, sequence))
         if not index:
@@ -178,14 +210,14 @@ def read_token_files(shards: DataFrame, folder: str, id_type: str = "long", id_c
             for stem, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader = open_sequences(folder, stem)
                 parts = [reader.get_batch(i) for i in range(reader.num_record_batches)]
-                ids = np.concatenate([p.column(0).flatten().to_numpy() for p in parts]).astype("<u4", copy=False)
+                ids = np.concatenate([p.column(0).flatten().to_numpy() for p in parts])
                 real = np.concatenate([p.column(1).flatten().to_numpy(zero_copy_only=False) for p in parts])
                 with files.open_input_file(f"{root}/{stem}.docs.arrow") as f:
                     docs = pa.ipc.open_file(f).read_all()
                 first, n = docs["first"].to_numpy(), docs["n"].to_numpy()
                 if int(real.sum()) != int(n.sum()) or not real[: int(n.sum())].all():
                     raise ValueError(f"mask and index of {stem} disagree")
-                crc = [zlib.crc32(ids[a : a + m]) for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+                crc = [zlib.crc32(ids[a : a + m].astype("<u4")) for a, m in zip(first.tolist(), n.tolist(), strict=True)]
                 yield from pa.table({"_id": docs["id"], "start": pa.array(first + base), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())}).to_batches()
 
     spread = shards.select("stem", "base").repartition(F.col("stem"))
