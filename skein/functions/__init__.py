@@ -1 +1,9 @@
+"""Built-in tasks as Column functions.
 
+``BUILTINS`` maps a task name to a function of Columns.  A function gives back one Column, or a
+dict of Columns by port for tasks with several outputs.
+"""
+
+from skein.functions import lists, logic, numbers, reductions, text
+
+BUILTINS = {**numbers.TASKS, **logic.TASKS, **text.TASKS, **lists.TASKS, **reductions.TASKS}
