@@ -50,7 +50,7 @@ class Builder:
     def const(self, value: Any) -> Port:
         return Port((self.graph.add(Const(value)), "value"))
 
-    def task(self, name: str, *args: Any, **ports: Any) -> Port:
+    def task(self, name: str, /, *args: Any, **ports: Any) -> Port:
         """Calls a task; positional arguments take the task's own argument names."""
         from skein.udf import argument_names
 
@@ -67,13 +67,13 @@ class Builder:
             body = body.graph
         return body.ref if isinstance(body, Port) else self.const(body).ref
 
-    def eval(self, body: Graph | Builder | Port, **ports: Any) -> Port:
+    def eval(self, body: Graph | Builder | Port, /, **ports: Any) -> Port:
         return Port((self.graph.add(Apply(self._body(body), self._refs(ports))), "value"))
 
-    def loop(self, body: Graph | Builder | Port, go_on: str = "should_continue", limit: int | None = None, **ports: Any) -> Port:
+    def loop(self, body: Graph | Builder | Port, /, go_on: str = "should_continue", limit: int | None = None, **ports: Any) -> Port:
         return Port((self.graph.add(Repeat(self._body(body), self._refs(ports), go_on, limit)), "value"))
 
-    def map(self, body: Graph | Builder | Port | Callable[..., Any], elements: Any = None, **ports: Any) -> Port:
+    def map(self, body: Graph | Builder | Port | Callable[..., Any], elements: Any = None, /, **ports: Any) -> Port:
         """Runs ``body`` for each element.  Lists to go through are given as ``Elements`` or as ``elements`` for a one-input body.
 
         A callable body makes a graph from the element handles.

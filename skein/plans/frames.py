@@ -26,7 +26,7 @@ def opaque(graph: Graph) -> bool:
     return any(not is_builtin(t) and t.removeprefix("builtins.") != "fold" for t in calls_of(graph))
 
 
-def run(df: DataFrame, graph: Graph, keep: list[str] | None = None, keys: list[str] | None = None, limit: int = C.LIMIT, **inputs: str | Column | Graph | object) -> DataFrame:
+def run(df: DataFrame, graph: Graph, /, keep: list[str] | None = None, keys: list[str] | None = None, limit: int = C.LIMIT, **inputs: str | Column | Graph | object) -> DataFrame:
     """Applies a graph to each row: the columns in ``keep`` and one column per output port.
 
     ``inputs`` binds ports to column names, Columns, graphs or values.  ``keys`` name columns that tell

@@ -50,8 +50,8 @@ class Task:
             rows = [func(*r) for r in zip(*columns, strict=True)] if columns else [func()]
             return pd.DataFrame([tuple(r) for r in rows], columns=rows[0]._fields if rows else None) if bundle else pd.Series(rows, dtype="object")
 
-        run.__annotations__ = {}
-        return F.pandas_udf(run, self.returns, F.PandasUDFType.SCALAR)(*args)
+        run.__annotations__ = {"columns": pd.Series, "return": pd.DataFrame if bundle else pd.Series}
+        return F.pandas_udf(run, self.returns)(*args)
 
 
 class Worker:
@@ -111,5 +111,5 @@ def pipe(command: str, text: Column) -> Column:
             out.append(done.stdout.decode())
         return pd.Series(out)
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR)(text)
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.StringType())(text)
