@@ -1,29 +1,25 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame operations only.
 
-A line's set holds its distinct words after lower-casing A-Z.  Lines with one set are one
+A line's set holds its distinct words: what spaces separate, in lower case.  Lines with one set are one
 class.  Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over all words, whose
 size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
-and positional filter); the whole sets of what is left are compared.
+and positional filter), as do 64-bit bitmaps of the sets; the whole sets of what is left are compared.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skein.llm import scratch
-from skein.llm.text import ascii_lower, own_columns
+from skein.llm import prune, scratch
+from skein.llm.text import own_columns
 
 #: Least Jaccard similarity, per cent.
-THRESHOLD = 85
-BUCKETS = 4096
+THRESHOLD = 90
+BUCKETS = 65536
 _KEEP = 63 - (BUCKETS - 1).bit_length()
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(ascii_lower(line), r"[ \t\r\f\x0B]+"), lambda w: w != "")
-
-
 def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
@@ -33,9 +29,23 @@ def _ordered(line: Column, ranks: Column) -> Column:
 
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, _bucket(h).cast("int")), _KEEP).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEEP))
+        return F.get(ranks, _bucket(h).cast("int")) + F.shiftrightunsigned(h, 64 - _KEEP)
+
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), code)))
+
+
+def _bitmap(s: Column) -> Column:
+    """One bit for each of 64 parts of the words, set where the set has any of them."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _quarter(x: Column) -> Column:
+    return F.shiftright(x, 6).bitwiseAND(F.lit(3))
+
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
+def _lacking(a: Column, b: Column) -> Column:
+    """At least so many words of ``a`` are none of ``b``: parts that only ``a`` has words of."""
+    return F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
 
 
 def _need(n: Column, m: Column) -> Column:
@@ -47,7 +57,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per id: ``id_col``, n_lines, n_removed, n_links, removed (numbers of removed lines, ascending from 0).
 
     Lines are ordered by id and number.  A line is removed when an earlier one has a
-    Jaccard similarity of 0.85 or more with it, be that one removed or not.  n_links counts, over the
+    Jaccard similarity of 0.9 or more with it, be that one removed or not.  n_links counts, over the
     document's lines, the other classes that each is similar to.  Lines without words are
     never removed and link nothing.
 
@@ -57,31 +67,35 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Classes are told apart by 64-bit hashes of their sets.
     """
     base = own_columns(docs, id_col, text_col).toDF("_id", "_text").select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
-    counts = base.select(F.explode(F.split(ascii_lower(F.col("_text")), r"[ \t\r\f\x0B\n]+")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    base = base.select("_id", F.lower("_text").alias("_text"))
+    counts = base.select(F.explode(F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     seen = {r["b"]: r["count"] for r in counts.collect()}  # BUCKETS rows at most
     order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))
     rank = [0] * BUCKETS
     for i, b in enumerate(order):
         rank[b] = i
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
+    ranks = F.split(F.lit(",".join(str(r << _KEEP) for r in rank)), ",").cast("array<bigint>")
 
     lines = base.select("_id", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
     n = F.col("n")
     prefix = n - F.ceil(n * THRESHOLD / 100) + 1
     able = n * 100 >= (n + 1) * THRESHOLD  # else only an equal set is similar enough
     places = lines.select("_id", "_no", _ordered(F.col("_line"), ranks).alias("s")).select("_id", "_no", F.size("s").alias("n"), "s")
-    places = places.select("_id", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), F.when(able, F.slice("s", 1, prefix.cast("int"))).alias("p"))
+    places = places.select("_id", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), F.when(able, F.slice("s", 1, prefix.cast("int"))).alias("p"), F.when(able, _bitmap(F.col("s"))).alias("m"))
     places = scratch.write(places, "lines")
-    classes = places.filter("c is not null").groupBy("c").agg(F.min(F.struct("_id", "_no")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"))
+    classes = places.filter("c is not null").groupBy("c").agg(F.min(F.struct("_id", "_no")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("m").alias("m"))
     classes = scratch.write(classes, "line-classes")
 
-    rare = classes.filter("p is not null").select("c", "n", F.posexplode("p").alias("i", "w"))
-    left, right = (rare.select("w", *[F.col(x).alias(x + s) for x in ("c", "n", "i")]) for s in "ab")
+    rare = classes.filter("p is not null").select("c", "n", "m", F.posexplode("p").alias("i", "w"))
+    left, right = (rare.select("w", *[F.col(x).alias(x + s) for x in ("c", "n", "m", "i")]) for s in "ab")
     overlap = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    # a part that only one side has words of stands for a word that the other lacks
+    lacks = F.greatest(F.col("nb") - F.col("na") + _lacking(F.col("ma"), F.col("mb")), _lacking(F.col("mb"), F.col("ma")))
     near = (
         left.join(right, "w")
         .filter("ca < cb")
         .filter((F.col("na") * 100 >= F.col("nb") * THRESHOLD) & (F.col("nb") * 100 >= F.col("na") * THRESHOLD))
+        .filter((F.col("nb") - lacks) * (100 + THRESHOLD) >= _need(F.col("na"), F.col("nb")))
         .filter(overlap * (100 + THRESHOLD) >= _need(F.col("na"), F.col("nb")))
     )
     pairs = scratch.write(near.select("ca", "cb").distinct(), "line-pairs")
@@ -89,9 +103,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # whole sets of the classes that are in a pair, from the places where they first stand
     named = pairs.select(F.col("ca").alias("c")).union(pairs.select("cb")).distinct()
     firsts = scratch.write(classes.select("c", "at").join(named, "c", "left_semi").select("c", F.col("at._id").alias("_id"), F.col("at._no").alias("_no")), "line-firsts")
-    match = lines["_id"].eqNullSafe(firsts["_id"]) & (lines["_no"] == firsts["_no"])
-    sets = lines.join(firsts, match).select("c", firsts["_id"].alias("_id"), firsts["_no"].alias("_no"), "_line")
+    asked = scratch.write(firsts.groupBy("_id").agg(F.collect_list(F.struct("c", "_no")).alias("asked")), "line-asked")
+    near_by = prune.may_join(base.withColumn("_key", F.xxhash64("_id")), "_key", asked.select(F.xxhash64("_id").alias("_key")))
+    held = near_by.join(asked, near_by["_id"].eqNullSafe(asked["_id"])).select(near_by["_id"].alias("_id"), F.split("_text", "\n").alias("t"), F.explode("asked").alias("x"))
+    sets = held.select("_id", F.col("x._no").alias("_no"), F.col("x.c").alias("c"), F.get("t", F.col("x._no")).alias("_line"))
     sets = scratch.write(sets.select("c", F.struct("_id", "_no").alias("at"), _ordered(F.col("_line"), ranks).alias("s")).filter(F.xxhash64("s") == F.col("c")).dropDuplicates(["c"]), "line-sets")
+    # 256 parts tell more than 64, and are small enough to travel for each pair, which whole sets are not
+    wide = sets.select("c", F.size("s").alias("n"), *[_bitmap(F.filter("s", lambda x: _quarter(x) == q)).alias(f"m{q}") for q in range(4)])
+    wa, wb = (wide.select(*[F.col(x).alias(x + side) for x in wide.columns]) for side in "ab")
+    lack = [sum((_lacking(F.col(f"m{q}{x}"), F.col(f"m{q}{y}")) for q in range(4)), F.lit(0)) for x, y in ("ab", "ba")]
+    most = F.least(F.col("na") - lack[0], F.col("nb") - lack[1])
+    pairs = scratch.write(pairs.join(wa, "ca").join(wb, "cb").filter(most * (100 + THRESHOLD) >= _need(F.col("na"), F.col("nb"))).select("ca", "cb"), "line-likely")
     whole = pairs.join(sets.select(F.col("c").alias("ca"), F.col("at").alias("ta"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("at").alias("tb"), F.col("s").alias("sb")), "cb")
     common = F.size(F.array_intersect("sa", "sb"))
     links = whole.filter(common * (100 + THRESHOLD) >= _need(F.size("sa"), F.size("sb"))).select("ca", "cb", (F.col("ta") < F.col("tb")).alias("a_first"))

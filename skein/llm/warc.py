@@ -30,7 +30,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def _header(headers: Column, name: str) -> Column:
-    return F.element_at(F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name), lambda h: h["value"]), 1)
+    return F.get(F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name), lambda h: h["value"]), F.lit(0))
 
 
 def merge_headers(stored: Column, fresh: Column) -> Column:
