@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skein.llm import kernels as K
-from skein.llm import scratch
+from skein.llm import prune, scratch
 from skein.llm.suffix_sort import adjacent_prefixes, sort_suffixes
 from skein.llm.text import own_columns
 
@@ -266,7 +266,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # texts with a shared anchor, fetched once for both the slices and the removal
     need = scratch.write(shared.select("k").distinct(), "suffix-needed")
-    held = scratch.write(long.join(need, "k", "left_semi").dropDuplicates(["k"]), "suffix-texts")
+    held = scratch.write(prune.may_join(long, "k", need).join(need, "k", "left_semi").dropDuplicates(["k"]), "suffix-texts")
     asked = slices.join(sizes, "fp", "left").select("k", F.struct("fp", "sh", "c", F.coalesce("hot", F.lit(False)).alias("hot"), "a", "b").alias("x")).groupBy("k").agg(F.collect_list("x").alias("asked"))
     cut = scratch.write(held.join(scratch.write(asked, "suffix-asked"), "k").select("k", "raw", "asked").mapInArrow(_cut(window), _CUT), "suffix-cut")
 
