@@ -92,7 +92,60 @@ _ALL = (
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PII_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(length({_PII_DIGITS})), lambda i: CASE WHEN i % 2 = 1
+    THEN CAST(substr({_PII_DIGITS}, length({_PII_DIGITS}) - i, 1) AS INT) * 2 // 10 + CAST(substr({_PII_DIGITS}, length({_PII_DIGITS}) - i, 1) AS INT) * 2 % 10
+    ELSE CAST(substr({_PII_DIGITS}, length({_PII_DIGITS}) - i, 1) AS INT) END)) % 10 = 0"""
+
 ORACLE_SQL = {
+    "op1_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        x AS (SELECT id, 13 AS m, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)
+              UNION ALL SELECT id, len(w), array_to_string(w, ' ') FROM i WHERE len(w) BETWEEN 1 AND 12),
+        s AS (SELECT DISTINCT m FROM x),
+        dw AS (SELECT doc_id, k, m, array_to_string(w[k : k + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, s WHERE len(w) >= m)),
+        h AS (SELECT doc_id, k, m, id FROM dw JOIN x USING (m, g)),
+        p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM h) GROUP BY doc_id),
+        o AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items, sha256(coalesce(o.ids, '')) AS items_sha256,
+               coalesce(p.n, 0) > 0 AND 20 * coalesce(p.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN o USING (doc_id)
+    """,
+    "op2_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id, doc_id = min(r.c) AS kept
+        FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n
+    """,
+    "op8_pii": rf"""
+        WITH k(kind, ord, pattern) AS (VALUES
+            ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+            ('card', 2, '[0-9](?:[ -]?[0-9])+'), ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'), ('iban', 4, '\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}\b')),
+        d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        e AS (SELECT doc_id, kind, ord, regexp_extract_all(t, pattern) AS hits, string_split_regex(t, pattern) AS gaps FROM d, k),
+        f AS (SELECT doc_id, kind, ord, hits[i] AS m,
+                     CAST(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+              FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM e)),
+        g AS (SELECT doc_id, kind, ord, s, s + length(m) AS z FROM f WHERE CASE kind
+            WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(right(ltrim(p, '0'), 3) AS INT), 0) <= 255))
+            WHEN 'card' THEN length({_PII_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}
+            WHEN 'phone' THEN length({_PII_DIGITS}) BETWEEN 10 AND 15
+            WHEN 'iban' THEN list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(m[5:] || m[1:4], ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                 lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1
+            ELSE true END),
+        a AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_email, count(*) FILTER (ord = 1) AS n_ip, count(*) FILTER (ord = 2) AS n_card, count(*) FILTER (ord = 3) AS n_phone,
+                     string_agg(kind || ':' || s || ':' || z, ',' ORDER BY s, ord) FILTER (ord < 4) AS base, string_agg(kind || ':' || s || ':' || z, ',' ORDER BY s, ord) AS spans FROM g GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (doc_id)
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

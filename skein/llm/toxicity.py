@@ -27,7 +27,7 @@ SAMPLE = (2000, 4000)
 MAX_TERMS = 2048
 LEAST_Z = 4.0
 #: Weight of a row with label 1 in the fit, for each row with label 0.
-POSITIVE_WEIGHT = 6.0
+POSITIVE_WEIGHT = 10.0
 RANK = 8
 STEPS = 300
 REJECT = 0.7
@@ -81,15 +81,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     if not pos or not neg:
         share = pos / max(1, pos + neg)
         return Machine(slots, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, RANK)))
-    counts = [np.zeros(size), np.zeros(size)]
-    for r, y in zip(rows, labels, strict=True):
-        counts[int(y)][r] += 1
+    per_label = [np.unique(np.concatenate([r for r, l in zip(rows, labels, strict=True) if l == y]), return_counts=True) for y in (0, 1)]
+    seen = np.union1d(per_label[0][0], per_label[1][0])
+    counts = [np.zeros(len(seen)), np.zeros(len(seen))]
+    for c, (t, n) in zip(counts, per_label, strict=True):
+        c[np.searchsorted(seen, t)] = n
     p, q = counts[1] / pos, counts[0] / neg
     pooled = (counts[0] + counts[1]) / (pos + neg)
     z = np.abs(p - q) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / pos + 1 / neg))
-    z[pooled == 0] = 0
-    chosen = np.argsort(-z, kind="stable")[:MAX_TERMS]
-    chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
+    best = np.argsort(-z, kind="stable")[:MAX_TERMS]
+    chosen = np.sort(seen[best[z[best] >= LEAST_Z]])
     slots[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, r in enumerate(rows):
@@ -106,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
         out = w[0] + x @ w[1] + ((xv**2).sum(1) - x @ (w[2] ** 2).sum(1)) / 2
         g = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - y) * weight
         gx = x.T @ g
-        grads = [g.sum(keepdims=True), gx + 1e-4 * w[1], x.T @ (g[:, None] * xv) - gx[:, None] * w[2] + 1e-4 * w[2]]
+        grads = [g.sum(keepdims=True), gx + 1e-4 * w[1], x.T @ (g[:, None] * xv) - gx[:, None] * w[2] + 1e-3 * w[2]]
         for a, d, (m, v) in zip(w, grads, moments, strict=True):
             m += 0.1 * (d - m)
             v += 0.001 * (d * d - v)
