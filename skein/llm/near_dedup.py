@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skein.llm import kernels as K
-from skein.llm import scratch
+from skein.llm import prune, scratch
 from skein.llm.components import components
 from skein.llm.text import own_columns
 
@@ -250,7 +250,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose whole shingle sets are similar enough.  Only texts that a pair names are kept at hand."""
     need = scratch.write(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "near-needed")
-    held = scratch.write(texts.join(need, "_id", "left_semi"), "near-texts")
+    held = scratch.write(prune.may_join(texts, "_id", need).join(need, "_id", "left_semi"), "near-texts")
     with_b = pairs.join(held.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b")
     both = with_b.join(held.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
     links = scratch.write(both.mapInArrow(_confirmed, "a long, b long"), "near-links")
@@ -272,7 +272,7 @@ def _between(reps: DataFrame, comp: DataFrame, family: DataFrame, texts: DataFra
     stats = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
     stats = scratch.write(stats.select("family", "all", (F.col("all") - F.col("top.n")).alias("few"), F.col("top.comp").alias("major")), "near-family-sizes")
     need = scratch.write(placed.select(F.col("rep").alias("_id")), "near-family-ids")
-    held = scratch.write(texts.join(need, "_id", "left_semi").dropDuplicates(["_id"]).withColumnRenamed("_id", "rep"), "near-family-texts")
+    held = scratch.write(prune.may_join(texts, "_id", need).join(need, "_id", "left_semi").dropDuplicates(["_id"]).withColumnRenamed("_id", "rep"), "near-family-texts")
 
     def chunk(of: str, salt: int):
         return F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(of) / FAMILY_CHUNK)).cast("int")
