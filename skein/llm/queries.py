@@ -146,6 +146,18 @@ ORACLE_SQL = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN a USING (doc_id)
     """,
+    "op9_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM d WHERE length(h) >= 800)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+        k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+        s AS (SELECT doc_id, min(i) AS lo, max(i) + 399 AS hi FROM k GROUP BY doc_id, k),
+        p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 AS a FROM s),
+        c AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, string_agg(substr(h, 2 * a - 1, 2 * (lo - a)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+              FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
