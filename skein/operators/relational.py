@@ -10,9 +10,10 @@ from skein.functions.lists import gather
 
 
 def collect_ordered(df: DataFrame, by: Sequence[str], order: Sequence[str], **lists: Column) -> DataFrame:
-    """One row per group with ordered lists.  One shuffle; a group's list is one value, so groups must fit a row."""
-    pos = F.struct(*[F.col(c).alias(c) for c in order])
-    return df.groupBy(*by).agg(*[gather(F.collect_list(F.struct(pos.alias("pos"), v.alias("v")))).alias(k) for k, v in lists.items()])
+    """One row per group with ordered lists.  One shuffle and one sort; a group's lists are values, so groups must fit a row."""
+    item = F.struct(F.struct(*[F.col(c).alias(c) for c in order]).alias("pos"), *[v.alias(k) for k, v in lists.items()])
+    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return groups.select(*by, *[F.col(f"_items.{k}").alias(k) for k in lists])
 
 
 def unfold(df: DataFrame, column: str, pos: str = "pos", value: str = "value") -> DataFrame:

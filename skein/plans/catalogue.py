@@ -74,18 +74,17 @@ def _l(name: str) -> Column:
     return F.col(name).cast("long")
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: quantities and part keys as whole numbers, discounts, and part keys as texts."""
-    return R.collect_ordered(_lines(spark, sf_dir), ["l_orderkey"], _ORDER, q=_l("l_quantity"), p=_l("l_partkey"), d=F.col("l_discount"), s=F.col("l_partkey").cast("string"))
+def _lists(spark: SparkSession, sf_dir: str, names: str = "q") -> DataFrame:
+    """Per order: quantities (q) and part keys (p) as whole numbers, discounts (d), part keys as texts (s)."""
+    items = {"q": _l("l_quantity"), "p": _l("l_partkey"), "d": F.col("l_discount"), "s": F.col("l_partkey").cast("string")}
+    return R.collect_ordered(_lines(spark, sf_dir), ["l_orderkey"], _ORDER, **{n: items[n] for n in names})
 
 
 def _elements(df: DataFrame, **lists: Column) -> DataFrame:
     """(l_orderkey, kind, pos, value) of some list columns."""
-    parts = [df.select("l_orderkey", F.lit(k).alias("kind"), F.posexplode(v).alias("pos", "value")) for k, v in lists.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("l_orderkey", "kind", _l("pos").alias("pos"), "value")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("items")) for k, v in lists.items()]))
+    rows = df.select("l_orderkey", each.alias("x")).select("l_orderkey", "x.kind", F.posexplode("x.items").alias("pos", "value"))
+    return rows.select("l_orderkey", "kind", _l("pos").alias("pos"), "value")
 
 
 _SQL_LISTS = """
@@ -157,7 +156,7 @@ def logic(spark, sf_dir):
 
 @query("SELECT l_orderkey, bool_and(l_discount <> 0) AS all_, bool_or(l_discount <> 0) AS any_ FROM lineitem GROUP BY l_orderkey")
 def all_any_truthy(spark, sf_dir):
-    return _lists(spark, sf_dir).select("l_orderkey", B["tkr_all"](F.col("d")).alias("all_"), B["tkr_any"](F.col("d")).alias("any_"))
+    return _lists(spark, sf_dir, "d").select("l_orderkey", B["tkr_all"](F.col("d")).alias("all_"), B["tkr_any"](F.col("d")).alias("any_"))
 
 
 @query("SELECT o_orderkey, o_custkey AS same, o_orderkey AS a, o_orderstatus AS b FROM orders")
@@ -202,7 +201,7 @@ def sleep_true(spark, sf_dir):
 
 @query(_unnested(("append", "list_append(q, CAST(l_orderkey AS BIGINT))"), ("extend", "list_concat(q, p)"), ("concat", "list_concat(p, q)")))
 def list_append_extend_concat(spark, sf_dir):
-    return _elements(_lists(spark, sf_dir), append=B["append"](F.col("q"), _l("l_orderkey")), extend=B["tkr_extend"](F.col("q"), F.col("p")), concat=B["concat_lists"](F.col("p"), F.col("q")))
+    return _elements(_lists(spark, sf_dir, "qp"), append=B["append"](F.col("q"), _l("l_orderkey")), extend=B["tkr_extend"](F.col("q"), F.col("p")), concat=B["concat_lists"](F.col("p"), F.col("q")))
 
 
 @query(_SQL_ARRAYS + "SELECT l_orderkey, q[1] AS head, coalesce(list_aggregate(q[2:], 'sum'), 0)::BIGINT AS rest_sum, CAST(len(q) AS BIGINT) AS n FROM a")
@@ -214,27 +213,27 @@ def list_head_rest_len(spark, sf_dir):
 @query(_SQL_ARRAYS + "SELECT l_orderkey, CAST(unnest(range(len(z))) AS BIGINT) AS pos, unnest(list_transform(z, lambda x: x[1])) AS a, unnest(list_transform(z, lambda x: x[2])) AS b FROM (SELECT l_orderkey, list_zip(q, p[1:2], true) AS z FROM a)")
 def list_zip_unzip(spark, sf_dir):
     z = B["unzip"](B["tkr_zip"](F.col("q"), B["take"](F.col("p"), F.lit(2))))
-    both = _lists(spark, sf_dir).select("l_orderkey", F.arrays_zip(z["a"].alias("a"), z["b"].alias("b")).alias("z"))
+    both = _lists(spark, sf_dir, "qp").select("l_orderkey", F.arrays_zip(z["a"].alias("a"), z["b"].alias("b")).alias("z"))
     return both.select("l_orderkey", F.posexplode("z").alias("pos", "z")).select("l_orderkey", _l("pos").alias("pos"), "z.a", "z.b")
 
 
 @query(_unnested(("reversed", "list_reverse(q)"), ("sorted", "list_sort(q)"), ("texts", "list_transform(list_sort(list_transform(p, lambda x: CAST(x AS VARCHAR))), lambda x: CAST(x AS BIGINT))")))
 def list_reverse_sort(spark, sf_dir):
     texts = F.transform(B["sort_string_list"](F.col("s")), lambda x: x.cast("long"))
-    return _elements(_lists(spark, sf_dir), reversed=B["tkr_reversed"](F.col("q")), sorted=B["sort_number_list"](F.col("q")), texts=texts)
+    return _elements(_lists(spark, sf_dir, "qs"), reversed=B["tkr_reversed"](F.col("q")), sorted=B["sort_number_list"](F.col("q")), texts=texts)
 
 
 @query(_unnested(("flat", "flatten([q, p])"), ("take2", "q[1:2]"), ("drop2", "q[3:]"), ("take_2", "q[1:greatest(len(q) - 2, 0)]"), ("drop_2", "q[greatest(len(q) - 1, 1):]")))
 def list_flatten_take_drop(spark, sf_dir):
     q = F.col("q")
-    return _elements(_lists(spark, sf_dir), flat=B["flatten"](F.array("q", "p")), take2=B["take"](q, F.lit(2)), drop2=B["drop"](q, F.lit(2)), take_2=B["take"](q, F.lit(-2)), drop_2=B["drop"](q, F.lit(-2)))
+    return _elements(_lists(spark, sf_dir, "qp"), flat=B["flatten"](F.array("q", "p")), take2=B["take"](q, F.lit(2)), drop2=B["drop"](q, F.lit(2)), take_2=B["take"](q, F.lit(-2)), drop_2=B["drop"](q, F.lit(-2)))
 
 
 @query("""SELECT l_orderkey, round(avg(l_quantity), 9) AS mean, CAST(sum(l_quantity) AS BIGINT) AS total, round(product(l_discount + 1), 9) AS product_, CAST(max(l_quantity) AS BIGINT) AS max_, CAST(min(l_quantity) AS BIGINT) AS min_
        FROM lineitem GROUP BY l_orderkey""")
 def reductions(spark, sf_dir):
     q = F.col("q")
-    return _lists(spark, sf_dir).select("l_orderkey", F.round(B["mean"](q), 9).alias("mean"), B["sum_int_list"](q).alias("total"), F.round(B["prod_list"](F.transform("d", lambda x: x + 1)), 9).alias("product_"), B["max_item"](q).alias("max_"), B["min_item"](q).alias("min_"))
+    return _lists(spark, sf_dir, "qd").select("l_orderkey", F.round(B["mean"](q), 9).alias("mean"), B["sum_int_list"](q).alias("total"), F.round(B["prod_list"](F.transform("d", lambda x: x + 1)), 9).alias("product_"), B["max_item"](q).alias("max_"), B["min_item"](q).alias("min_"))
 
 
 @query(_unnested(("value", "q")))
@@ -265,7 +264,7 @@ def map_some_empty(spark, sf_dir):
 
 @query(_SQL_LISTS + "SELECT l_orderkey, 'value' AS kind, CAST(pos AS BIGINT) AS pos, q + p AS value FROM r")
 def map_multi_input(spark, sf_dir):
-    return _elements(run(_lists(spark, sf_dir), G.map_two(), keep=["l_orderkey"], a="q", b="p"), value=F.col("value"))
+    return _elements(run(_lists(spark, sf_dir, "qp"), G.map_two(), keep=["l_orderkey"], a="q", b="p"), value=F.col("value"))
 
 
 @query(_unnested(("a", "q"), ("value", "list_transform(q, lambda x: 2 * x + 1)")))
@@ -305,12 +304,12 @@ def ifelse_udf_split(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, CAST(greatest(l_quantity + 1, 30) AS BIGINT) AS value FROM lineitem")
 def loop_until(spark, sf_dir):
-    return run(_lines(spark, sf_dir), G.count_to(30), keep=["l_orderkey", "l_partkey", "l_suppkey"], value=_l("l_quantity"))
+    return run(_lines(spark, sf_dir), G.count_to(30), limit=32, keep=["l_orderkey", "l_partkey", "l_suppkey"], value=_l("l_quantity"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber + n AS BIGINT) AS acc1, CAST(2 * n AS BIGINT) AS acc2, CAST(l_partkey + 3 * n AS BIGINT) AS acc3 FROM (SELECT *, greatest(10 - l_linenumber, 1) AS n FROM lineitem)")
 def loop_multi_acc(spark, sf_dir):
-    return run(_lines(spark, sf_dir), G.three_counters(10), keep=["l_orderkey", "l_partkey", "l_suppkey"], x=_l("l_linenumber"), y=0, z=_l("l_partkey"))
+    return run(_lines(spark, sf_dir), G.three_counters(10), limit=12, keep=["l_orderkey", "l_partkey", "l_suppkey"], x=_l("l_linenumber"), y=0, z=_l("l_partkey"))
 
 
 @query("SELECT o_orderkey, CAST(greatest(o_custkey % 5 + 1, 4) AS BIGINT) AS value FROM orders")
@@ -324,12 +323,12 @@ def loop_udf_rounds(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, CAST(gcd(CAST(l_partkey AS BIGINT), CAST(l_quantity AS BIGINT)) AS BIGINT) AS value FROM lineitem")
 def rec_gcd(spark, sf_dir):
-    return run(_lines(spark, sf_dir), G.gcd(), keep=["l_orderkey", "l_partkey", "l_suppkey"], a=_l("l_partkey"), b=_l("l_quantity"))
+    return run(_lines(spark, sf_dir), G.gcd(), keep=["l_orderkey", "l_partkey", "l_suppkey"], limit=16, a=_l("l_partkey"), b=_l("l_quantity"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, CAST(factorial(CAST(l_quantity AS INTEGER) % 15) AS BIGINT) AS value FROM lineitem")
 def rec_factorial(spark, sf_dir):
-    return run(_lines(spark, sf_dir), G.factorial(), keep=["l_orderkey", "l_partkey", "l_suppkey"], n=_l("l_quantity") % 15)
+    return run(_lines(spark, sf_dir), G.factorial(), keep=["l_orderkey", "l_partkey", "l_suppkey"], limit=16, n=_l("l_quantity") % 15)
 
 
 @query("SELECT l_orderkey, round(sum(l_quantity * l_discount), 6) AS value FROM lineitem GROUP BY l_orderkey")

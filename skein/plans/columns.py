@@ -168,8 +168,14 @@ def recurse(graph: Graph, args: dict[str, Value], limit: int) -> dict[str, Value
         c = at(now)
         then = {k: c.at(r) for k, r in graph.nodes[again].ports.items()}
         then = {k: then.get(k, now[k]) for k in plain}
+        if tail:
+            return F.struct(frame(then).alias("now"), goes_on(then).alias("go"))
         return F.struct(frame(then).alias("now"), F.array_append(acc["stack"], acc["now"]).alias("stack"), goes_on(then).alias("go"))
 
+    tail = deep == (again, "value")  # nothing is left to do on the way up
+    if tail:
+        end = _steps(limit, F.struct(frame(plain).alias("now"), goes_on(plain).alias("go")), down)
+        return {port: at({k: end["now"][k] for k in plain}).at(flat)}
     none = F.slice(F.array(frame(plain)), 1, 0)
     start = F.struct(frame(plain).alias("now"), none.alias("stack"), goes_on(plain).alias("go"))
     end = _steps(limit, start, down)
