@@ -91,3 +91,50 @@ def transpose(shape: Column, data: Column) -> Column:
     """Flat data of a matrix with rows and columns swapped."""
     rows, cols = F.get(shape, F.lit(0)), F.get(shape, F.lit(1))
     return F.transform(F.sequence(F.lit(0), rows * cols - 1), lambda k: F.get(data, (k % rows) * cols + F.floor(k / rows).cast("int")))
+
+
+def reshape(shape: Column, data: Column, new: Sequence[int]) -> Column:
+    """The same flat data under another shape of equal size; sizes that differ raise."""
+    size = F.aggregate(shape, F.lit(1), lambda a, x: a * x)
+    wanted = 1
+    for n in new:
+        wanted *= n
+    return F.when((size == wanted) | F.raise_error(F.lit(f"cannot reshape to {list(new)}")).cast("boolean"), F.struct(F.array(*[F.lit(n) for n in new]).alias("shape"), data.alias("data")))
+
+
+def pointed(data: Column, at: Column) -> Column:
+    """An array with a place in it; :func:`at_point` reads what stands there."""
+    return F.struct(data.alias("data"), at.alias("at"))
+
+
+def at_point(p: Column) -> Column:
+    return F.element_at(p["data"], p["at"].cast("int") + 1)
+
+
+def split_space(df: DataFrame, by: Sequence[str], order: str, frozen: int, active: int) -> DataFrame:
+    """Adds ``space``: the first ``frozen`` rows of a group are core, the next ``active`` ones active, all others virtual."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    return df.withColumn("space", F.when(place < frozen, "core").when(place < frozen + active, "active").otherwise("virtual"))
+
+
+def configurations(spark, places: int, ones: int) -> DataFrame:
+    """All bit strings of a length with a number of ones; the work is 2**places rows, spread over the cluster."""
+    return spark.range(1 << places).filter(F.bit_count("id") == ones).select(F.lpad(F.bin("id"), places, "0").alias("bits"))
+
+
+def greedy(pool: DataFrame, key: str, score: str, cost: str, budget: float, max_rounds: int = 100) -> list[tuple]:
+    """Takes the row with the highest score per cost that still fits, again and again: (key, left after it).
+
+    One row comes to the driver in each round.
+    """
+    left, taken = budget, []
+    for _ in range(max_rounds):
+        fits = pool.filter(F.col(cost) <= left)
+        if taken:
+            fits = fits.filter(~F.col(key).isin([k for k, _ in taken]))
+        best = fits.agg(F.max_by(F.struct(key, cost), F.struct(F.col(score) / F.col(cost), -F.col(key))).alias("b")).first()["b"]
+        if best is None:
+            break
+        left -= best[cost]
+        taken.append((best[key], left))
+    return taken

@@ -53,6 +53,18 @@ def loop_edges(rounds: DataFrame, by: list[str], turn: str, value: str) -> DataF
     return rounds.select(*by, F.col(turn).alias("from_round"), F.lead(turn).over(w).alias("to_round"), F.col(value).alias("value")).filter("to_round is not null")
 
 
+def eval_view(spark, graph, nodes: DataFrame, run: str, location: str = "-") -> tuple[DataFrame, DataFrame]:
+    """Nodes of a graph with their state in a run, and its edges; nodes that have no row have not started."""
+    shape, edges = graph_tables(spark, graph)
+    here = children(nodes.filter(F.col("run") == run), location, "N").select(F.col("index").cast("int").alias("id"), "started", "finished", "error")
+    return shape.join(here, "id", "left").withColumn("status", status()), edges
+
+
+def messages(nodes: DataFrame) -> DataFrame:
+    """Error texts with their places."""
+    return nodes.filter("error is not null").select("run", "location", "error")
+
+
 def timings(nodes: DataFrame) -> DataFrame:
     return nodes.select("run", "location", (F.unix_micros("finished") - F.unix_micros("started")).alias("micros"))
 

@@ -42,6 +42,11 @@ def halve(x: int) -> int:
     return x // 2
 
 
+@worker.task(capture=True)
+def halve_or_tell(x: int) -> int:
+    return halve(x)
+
+
 @worker.task(vectorized=True)
 def plus_one(x: int) -> int:
     return x + 1
@@ -464,6 +469,44 @@ def ndarray_transpose(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(t).alias("pos", "value")).select("vec_id", _l("pos").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
+@query("""SELECT s_nationkey, s_suppkey, CASE WHEN n < 1 THEN 'core' WHEN n < 3 THEN 'active' ELSE 'virtual' END AS space
+       FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n FROM supplier)""")
+def active_space(spark, sf_dir):
+    return R.split_space(_t(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], "s_suppkey", 1, 2)
+
+
+@query("SELECT bits FROM (SELECT lpad(bin(CAST(i AS BIGINT)), 8, '0') AS bits FROM range(256) t(i)) WHERE length(replace(bits, '0', '')) = 3")
+def configurations(spark, sf_dir):
+    return R.configurations(spark, 8, 3)
+
+
+@query()
+def greedy_pool(spark, sf_dir):
+    pool = _t(spark, sf_dir, "part").select(_l("p_partkey").alias("k"), F.col("p_retailprice").alias("score"), _l("p_size").alias("c"))
+    return spark.createDataFrame(R.greedy(pool, "k", "score", "c", 20, 5), "k long, left_over long")
+
+
+@query("SELECT vec_id, CAST(2 AS BIGINT) AS rows, CAST(4 AS BIGINT) AS cols, CAST(embedding[vec_id % 8 + 1] AS DOUBLE) AS point FROM embeddings")
+def ndarray_reshape_point(spark, sf_dir):
+    first = F.slice("embedding", 1, 8)
+    shaped = R.reshape(F.array(F.lit(8)), first, [2, 4])
+    point = R.at_point(R.pointed(first, F.col("vec_id") % 8))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", _l_of(shaped["shape"], 0).alias("rows"), _l_of(shaped["shape"], 1).alias("cols"), point.cast("double").alias("point"))
+
+
+def _l_of(items: Column, i: int) -> Column:
+    return F.get(items, F.lit(i)).cast("long")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey // 2 AS BIGINT) ELSE -1 END AS value, CASE WHEN o_custkey % 2 = 1 THEN 'ValueError: odd' ELSE '' END AS error FROM orders")
+def udf_error_capture(spark, sf_dir):
+    """Errors of single rows become values."""
+    g = Builder("x")
+    out = g.task("demo.halve_or_tell", x=g["x"])
+    told = run(_t(spark, sf_dir, "orders"), g.outputs(value=out.value, error=out.error), keep=["o_orderkey"], x=_l("o_custkey"))
+    return told.fillna({"value": -1, "error": ""})
+
+
 # run state
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import types
 import typing
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, functions as F, types as T
@@ -15,6 +16,19 @@ NDARRAY = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.
 _PLAIN = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType(), complex: COMPLEX, type(None): T.NullType()}
 
 
+@dataclass(frozen=True)
+class Codec:
+    """In ``Annotated[T, Codec(...)]``: how a value of a type of one's own travels in a column."""
+
+    encode: Callable[[Any], Any]
+    decode: Callable[[Any], Any]
+    stored: Any = bytes
+
+
+def codec_of(hint: Any) -> Codec | None:
+    return next((m for m in typing.get_args(hint)[1:] if isinstance(m, Codec)), None) if typing.get_origin(hint) is typing.Annotated else None
+
+
 def spark_type(hint: Any) -> T.DataType:
     """Spark type of an annotation; what has none raises TypeError (dates, UUIDs, sets, open classes)."""
     if isinstance(hint, T.DataType):
@@ -23,7 +37,8 @@ def spark_type(hint: Any) -> T.DataType:
         return _PLAIN[hint]
     origin, args = typing.get_origin(hint), typing.get_args(hint)
     if origin is typing.Annotated:
-        return spark_type(args[0])
+        codec = codec_of(hint)
+        return spark_type(codec.stored if codec else args[0])
     if origin in (typing.Union, types.UnionType):
         some = [a for a in args if a is not type(None)]
         if set(some) == {int, float}:
