@@ -58,14 +58,11 @@ class Encoder:
         if _UNSAFE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         pieces, cache = _PIECE.findall(text), self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        self._learn([p for p in set(pieces) if p not in cache])
-        return b"".join([cache[p] for p in pieces])
+        if new := set(pieces).difference(cache):
+            self._learn(list(new))
+        return b"".join(map(cache.__getitem__, pieces))
 
     def _learn(self, new: list[str]) -> None:
         """Encodes pieces in one call, a line each: the break is a piece and one id of its own, which no other piece holds."""
