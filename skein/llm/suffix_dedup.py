@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,7 +34,7 @@ GRAM = 128
 #: Different slices of one anchor string that are still sorted in one task.
 GROUP = 256
 SORT_BYTES = 1 << 19
-BLOCK = 1 << 18
+BLOCK = K.BLOCK_BYTES
 
 
 def _gram_hashes(sums: np.ndarray, k: int) -> np.ndarray:
@@ -292,3 +293,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("kept", "plain").alias("kept_sha256"),
         F.coalesce("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")).alias("spans"),
     )
+
+
+def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the removed stretches cut from ``text_col``; a character of which only a part is removed stays.
+
+    Ids must tell texts apart.  Other columns, null texts and texts that lose nothing stay as they are.
+    """
+    found = repeated_spans(docs, id_col, text_col, window).filter("n_removed > 0").select(F.col(id_col).alias("_cut"), F.col("spans").alias("_spans")).dropDuplicates(["_cut"])
+    found = scratch.write(found, "suffix-cuts")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, ss in zip(texts, spans, strict=True):
+            raw, at, kept = text.encode("utf-8"), 0, []
+            for x in ss:
+                lo, hi = x["lo"], x["hi"]
+                while lo < hi and raw[lo] & 0xC0 == 0x80:  # inside a character: it begins before the stretch
+                    lo += 1
+                while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                    hi -= 1
+                kept.append(raw[at:lo])
+                at = max(at, hi)
+            out.append((b"".join(kept) + raw[at:]).decode("utf-8"))
+        return pd.Series(out)
+
+    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_cut")) & F.col("_spans").isNotNull(), "left")
+    same = joined.filter("_spans is null").select(docs.columns)
+    return same.unionByName(joined.filter("_spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).select(docs.columns))

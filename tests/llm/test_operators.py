@@ -350,6 +350,18 @@ def test_repeated_spans(spark, group):
     assert suffix_dedup.repeated_spans(frame(spark, EMPTY)).count() == 0
 
 
+def test_cut_spans_keep_whole_characters(spark):
+    rng = random.Random(12)
+    shared = "é" * 300
+    rows = [(1, "x" + shared + prose(rng, 5)), (2, prose(rng, 5) + shared + "y"), (3, prose(rng, 50)), (4, None)]
+    cut = {r.doc_id: r.text for r in suffix_dedup.cut_repeated_spans(frame(spark, rows)).collect()}
+    assert cut[3] == rows[2][1] and cut[4] is None
+    removed = brute.repeats(rows)
+    for d, t in rows[:2]:
+        assert cut[d].replace("é", "") == t.replace("é", "")
+        assert abs(len(t.encode()) - len(cut[d].encode()) - removed[d][1]) <= 2
+
+
 def test_suffix_sorting():
     rng = random.Random(8)
     for _ in range(100):
