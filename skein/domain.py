@@ -15,7 +15,7 @@ from skein.udf import Task, Worker, _WORKERS
 
 #: Task names by worker, with their arguments (fixed values).
 TASKS = {
-    "pytket": {
+    "circuit": {
         "get_backend_info": ["config"],
         "device_name_from_info": ["backend_info"],
         "compile_using_info": ["circuit", "backend_info", "config", "optimisation_level", "timeout"],
@@ -46,7 +46,7 @@ TASKS = {
         "run_circuit": ["circuit", "n_shots", "result_type", "gpu_sim", "seed"],
         "run_circuits": ["circuits", "n_shots", "result_type", "gpu_sim", "seed"],
     },
-    "nexus": {
+    "remote_jobs": {
         "upload_circuit": ["project_name", "circ"],
         "start_execute_job": ["project_name", "job_name", "circuits", "n_shots", "backend_config"],
         "is_running": ["execute_ref"],
@@ -54,14 +54,14 @@ TASKS = {
         "check_status": ["execute_ref"],
         "submit": ["circuits", "n_shots"],
     },
-    "quantinuum": {
+    "hosted_device": {
         "get_backend_info": ["device_name"],
         "backend_pass_from_info": ["backend_info", "optimisation_level"],
         "backend_default_compilation_pass": ["device_name", "optimisation_level"],
         "fixed_pass": [],
         "compile": ["circuit", "device_name", "optimisation_level"],
-        "compile_circuit_quantinuum": ["circuit"],
-        "compile_circuits_quantinuum": ["circuits"],
+        "compile_circuit": ["circuit"],
+        "compile_circuits": ["circuits"],
         "run_circuit": ["circuit", "n_shots", "device_name"],
     },
     "ibmq": {
@@ -70,8 +70,8 @@ TASKS = {
         "backend_default_compilation_pass": ["device_name", "optimisation_level"],
         "fixed_pass": ["coupling_map", "optimisation_level"],
         "compile": ["circuit", "device_name", "optimisation_level"],
-        "compile_circuit_ibmq": ["circuit", "device_name", "optimisation_level"],
-        "compile_circuits_ibmq": ["circuits", "device_name", "optimisation_level"],
+        "compile_circuit": ["circuit", "device_name", "optimisation_level"],
+        "compile_circuits": ["circuits", "device_name", "optimisation_level"],
         "run_circuit": ["circuit", "n_shots", "device_name"],
     },
 }

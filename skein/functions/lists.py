@@ -70,11 +70,11 @@ def gather(items: Column) -> Column:
 TASKS = {
     "append": append,
     "head": head,
-    "tkr_len": length,
-    "tkr_zip": zipped,
+    "len": length,
+    "zip": zipped,
     "unzip": unzipped,
-    "tkr_reversed": reverse,
-    "tkr_extend": extend,
+    "reversed": reverse,
+    "extend": extend,
     "concat_lists": extend,
     "sort_number_list": ordered,
     "sort_string_list": ordered,

@@ -63,12 +63,12 @@ def sleep(seconds: Column) -> Column:
 
 TASKS = {
     "neg": negate,
-    "trk_and": both,
-    "trk_or": either,
-    "tkr_all": every,
-    "tkr_any": some,
-    "tkr_id": identity,
-    "tkr_tuple": pair,
+    "and": both,
+    "or": either,
+    "all": every,
+    "any": some,
+    "id": identity,
+    "tuple": pair,
     "untuple": unpair,
-    "tkr_sleep": sleep,
+    "sleep": sleep,
 }

@@ -98,7 +98,7 @@ TASKS = {
     "conjugate": conjugate,
     "ipow": ipow,
     "pow": power,
-    "tkr_abs": absolute,
-    "tkr_round": rounded,
+    "abs": absolute,
+    "round": rounded,
     "rand_int": rand_int,
 }

@@ -58,4 +58,4 @@ def to_int(value: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("not an integer: "), text)).cast("long")).otherwise(value.cast("long"))
 
 
-TASKS = {"str_eq": equal, "str_neq": unequal, "concat": concat, "tkr_encode": encode, "tkr_decode": decode, "tkr_str": to_text, "tkr_int": to_int}
+TASKS = {"str_eq": equal, "str_neq": unequal, "concat": concat, "encode": encode, "decode": decode, "str": to_text, "int": to_int}

@@ -115,11 +115,11 @@ def doubler_plus(spark, sf_dir):
     return run(_lines(spark, sf_dir), G.doubler_plus(), keep=LINE, x=_l("l_quantity"), intercept=6)
 
 
-@query("""SELECT l_orderkey, l_partkey + l_linenumber AS iadd, l_partkey - 100 AS isubtract, l_partkey * l_linenumber AS itimes, l_partkey > 100 AS igt, abs(l_partkey - 100) AS tkr_abs,
+@query("""SELECT l_orderkey, l_partkey + l_linenumber AS iadd, l_partkey - 100 AS isubtract, l_partkey * l_linenumber AS itimes, l_partkey > 100 AS igt, abs(l_partkey - 100) AS abs_,
        l_suppkey, l_quantity FROM lineitem""")
 def math_int(spark, sf_dir):
     p, n = _l("l_partkey"), _l("l_linenumber")
-    return _lines(spark, sf_dir).select("l_orderkey", "l_suppkey", "l_quantity", B["iadd"](p, n).alias("iadd"), B["isubtract"](p, F.lit(100)).alias("isubtract"), B["itimes"](p, n).alias("itimes"), B["igt"](p, F.lit(100)).alias("igt"), B["tkr_abs"](p - 100).alias("tkr_abs"))
+    return _lines(spark, sf_dir).select("l_orderkey", "l_suppkey", "l_quantity", B["iadd"](p, n).alias("iadd"), B["isubtract"](p, F.lit(100)).alias("isubtract"), B["itimes"](p, n).alias("itimes"), B["igt"](p, F.lit(100)).alias("igt"), B["abs"](p - 100).alias("abs_"))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_quantity + l_tax AS add_, l_quantity - l_tax AS subtract_, l_quantity * l_discount AS times_, l_quantity / (l_discount + 1) AS divide_,
@@ -139,7 +139,7 @@ def floor_div_mod(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey, CAST(round_even(l_quantity / 2, 0) AS BIGINT) AS rounded FROM lineitem")
 def round_half_even(spark, sf_dir):
-    return _lines(spark, sf_dir).select("l_orderkey", "l_partkey", B["tkr_round"](F.col("l_quantity") / 2).alias("rounded"))
+    return _lines(spark, sf_dir).select("l_orderkey", "l_partkey", B["round"](F.col("l_quantity") / 2).alias("rounded"))
 
 
 @query("SELECT l_orderkey, l_partkey, CAST(pow(l_quantity, l_linenumber) AS BIGINT) AS ipow, round(pow(l_quantity, 0.5), 9) AS pow_ FROM lineitem")
@@ -156,18 +156,18 @@ def complex_conj(spark, sf_dir):
 @query("""SELECT l_orderkey, l_partkey, NOT (l_returnflag = 'R') AS neg, l_returnflag = 'R' AND l_linestatus = 'O' AS and_, l_returnflag = 'R' OR l_linestatus = 'O' AS or_ FROM lineitem""")
 def logic(spark, sf_dir):
     r, o = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
-    return _lines(spark, sf_dir).select("l_orderkey", "l_partkey", B["neg"](r).alias("neg"), B["trk_and"](r, o).alias("and_"), B["trk_or"](r, o).alias("or_"))
+    return _lines(spark, sf_dir).select("l_orderkey", "l_partkey", B["neg"](r).alias("neg"), B["and"](r, o).alias("and_"), B["or"](r, o).alias("or_"))
 
 
 @query("SELECT l_orderkey, bool_and(l_discount <> 0) AS all_, bool_or(l_discount <> 0) AS any_ FROM lineitem GROUP BY l_orderkey")
 def all_any_truthy(spark, sf_dir):
-    return _lists(spark, sf_dir, "d").select("l_orderkey", B["tkr_all"](F.col("d")).alias("all_"), B["tkr_any"](F.col("d")).alias("any_"))
+    return _lists(spark, sf_dir, "d").select("l_orderkey", B["all"](F.col("d")).alias("all_"), B["any"](F.col("d")).alias("any_"))
 
 
 @query("SELECT o_orderkey, o_custkey AS same, o_orderkey AS a, o_orderstatus AS b FROM orders")
 def identity_tuple(spark, sf_dir):
-    pair = B["untuple"](B["tkr_tuple"](F.col("o_orderkey"), F.col("o_orderstatus")))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", B["tkr_id"](F.col("o_custkey")).alias("same"), pair["a"].alias("a"), pair["b"].alias("b"))
+    pair = B["untuple"](B["tuple"](F.col("o_orderkey"), F.col("o_orderstatus")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", B["id"](F.col("o_custkey")).alias("same"), pair["a"].alias("a"), pair["b"].alias("b"))
 
 
 @query("SELECT o_orderkey, o_orderpriority = '1-URGENT' AS same, o_orderpriority <> '1-URGENT' AS other, o_orderstatus || o_orderpriority AS joined FROM orders")
@@ -178,16 +178,16 @@ def text_eq_concat(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(hex(encode(text))) AS bytes_sha, text AS back FROM documents")
 def encode_decode(spark, sf_dir):
-    raw = B["tkr_encode"](F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.hex(raw), 256).alias("bytes_sha"), B["tkr_decode"](raw).alias("back"))
+    raw = B["encode"](F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.hex(raw), 256).alias("bytes_sha"), B["decode"](raw).alias("back"))
 
 
 @query("""SELECT l_orderkey, l_partkey, CAST(l_partkey AS VARCHAR) AS whole, CASE WHEN l_returnflag = 'R' THEN 'True' ELSE 'False' END AS flag,
        CAST(l_quantity AS VARCHAR) AS float, CAST(trunc(l_extendedprice) AS BIGINT) AS cut, CAST(trunc(-l_extendedprice) AS BIGINT) AS cut_neg, l_partkey AS parsed FROM lineitem""")
 def to_str_int(spark, sf_dir):
     return _lines(spark, sf_dir).select(
-        "l_orderkey", "l_partkey", B["tkr_str"](_l("l_partkey")).alias("whole"), B["tkr_str"](F.col("l_returnflag") == "R").alias("flag"), B["tkr_str"](F.col("l_quantity")).alias("float"),
-        B["tkr_int"](F.col("l_extendedprice")).alias("cut"), B["tkr_int"](-F.col("l_extendedprice")).alias("cut_neg"), B["tkr_int"](F.concat(F.lit(" "), F.col("l_partkey").cast("string"))).alias("parsed"),
+        "l_orderkey", "l_partkey", B["str"](_l("l_partkey")).alias("whole"), B["str"](F.col("l_returnflag") == "R").alias("flag"), B["str"](F.col("l_quantity")).alias("float"),
+        B["int"](F.col("l_extendedprice")).alias("cut"), B["int"](-F.col("l_extendedprice")).alias("cut_neg"), B["int"](F.concat(F.lit(" "), F.col("l_partkey").cast("string"))).alias("parsed"),
     )
 
 
@@ -198,7 +198,7 @@ def rand_in_range(spark, sf_dir):
 
 @query()
 def sleep_true(spark, sf_dir):
-    return _t(spark, sf_dir, "region").select("r_regionkey", B["tkr_sleep"](F.lit(0.001)).alias("value"))
+    return _t(spark, sf_dir, "region").select("r_regionkey", B["sleep"](F.lit(0.001)).alias("value"))
 
 
 # lists
@@ -206,18 +206,18 @@ def sleep_true(spark, sf_dir):
 
 @query(_unnested(("append", "list_append(q, CAST(l_orderkey AS BIGINT))"), ("extend", "list_concat(q, p)"), ("concat", "list_concat(p, q)")))
 def list_append_extend_concat(spark, sf_dir):
-    return _elements(_lists(spark, sf_dir, "qp"), append=B["append"](F.col("q"), _l("l_orderkey")), extend=B["tkr_extend"](F.col("q"), F.col("p")), concat=B["concat_lists"](F.col("p"), F.col("q")))
+    return _elements(_lists(spark, sf_dir, "qp"), append=B["append"](F.col("q"), _l("l_orderkey")), extend=B["extend"](F.col("q"), F.col("p")), concat=B["concat_lists"](F.col("p"), F.col("q")))
 
 
 @query(_SQL_ARRAYS + "SELECT l_orderkey, q[1] AS head, coalesce(list_aggregate(q[2:], 'sum'), 0)::BIGINT AS rest_sum, CAST(len(q) AS BIGINT) AS n FROM a")
 def list_head_rest_len(spark, sf_dir):
     h = B["head"](F.col("q"))
-    return _lists(spark, sf_dir).select("l_orderkey", h["head"].alias("head"), B["sum_int_list"](h["rest"]).alias("rest_sum"), B["tkr_len"](F.col("q")).alias("n"))
+    return _lists(spark, sf_dir).select("l_orderkey", h["head"].alias("head"), B["sum_int_list"](h["rest"]).alias("rest_sum"), B["len"](F.col("q")).alias("n"))
 
 
 @query(_SQL_ARRAYS + "SELECT l_orderkey, CAST(unnest(range(len(z))) AS BIGINT) AS pos, unnest(list_transform(z, lambda x: x[1])) AS a, unnest(list_transform(z, lambda x: x[2])) AS b FROM (SELECT l_orderkey, list_zip(q, p[1:2], true) AS z FROM a)")
 def list_zip_unzip(spark, sf_dir):
-    z = B["unzip"](B["tkr_zip"](F.col("q"), B["take"](F.col("p"), F.lit(2))))
+    z = B["unzip"](B["zip"](F.col("q"), B["take"](F.col("p"), F.lit(2))))
     both = _lists(spark, sf_dir, "qp").select("l_orderkey", F.arrays_zip(z["a"].alias("a"), z["b"].alias("b")).alias("z"))
     return both.select("l_orderkey", F.posexplode("z").alias("pos", "z")).select("l_orderkey", _l("pos").alias("pos"), "z.a", "z.b")
 
@@ -225,7 +225,7 @@ def list_zip_unzip(spark, sf_dir):
 @query(_unnested(("reversed", "list_reverse(q)"), ("sorted", "list_sort(q)"), ("texts", "list_transform(list_sort(list_transform(p, lambda x: CAST(x AS VARCHAR))), lambda x: CAST(x AS BIGINT))")))
 def list_reverse_sort(spark, sf_dir):
     texts = F.transform(B["sort_string_list"](F.col("s")), lambda x: x.cast("long"))
-    return _elements(_lists(spark, sf_dir, "qs"), reversed=B["tkr_reversed"](F.col("q")), sorted=B["sort_number_list"](F.col("q")), texts=texts)
+    return _elements(_lists(spark, sf_dir, "qs"), reversed=B["reversed"](F.col("q")), sorted=B["sort_number_list"](F.col("q")), texts=texts)
 
 
 @query(_unnested(("flat", "flatten([q, p])"), ("take2", "q[1:2]"), ("drop2", "q[3:]"), ("take_2", "q[1:greatest(len(q) - 2, 0)]"), ("drop_2", "q[greatest(len(q) - 1, 1):]")))

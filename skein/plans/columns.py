@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from skein.functions import BUILTINS
+from skein.functions import BUILTINS, plain_name
 from skein.ir import SELF, Apply, Call, Choose, Const, Each, Graph, GraphError, Input, Output, Ref, Repeat, refs_of
 from skein.types import literal
 
@@ -83,7 +83,7 @@ class Columns:
 def call(task: str, ports: dict[str, Value], limit: int = LIMIT) -> dict[str, Value]:
     from skein import udf
 
-    task = task.removeprefix("builtins.")
+    task = plain_name(task)
     if task == "fold":
         func = ports["func"]
         return {"value": F.aggregate(ports["values"], ports["initial"], lambda acc, x: apply(func, {"a": x, "b": acc}, limit)["value"])}

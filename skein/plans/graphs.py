@@ -98,7 +98,7 @@ def weighted_sum() -> Graph:
     pair = step.task("untuple", a=step["a"])
     func = step.outputs(value=step.task("add", a=step["b"], b=step.task("times", a=pair.a, b=pair.b)))
     g = Builder("values", "weights")
-    return g.outputs(value=g.eval(fold(func), values=g.task("tkr_zip", a=g["values"], b=g["weights"]), initial=0.0))
+    return g.outputs(value=g.eval(fold(func), values=g.task("zip", a=g["values"], b=g["weights"]), initial=0.0))
 
 
 def by_name() -> Graph:

@@ -11,7 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from skein.functions import BUILTINS
+from skein.functions import BUILTINS, plain_name
 from skein.types import codec_of, spark_type
 
 _WORKERS: dict[str, Worker] = {}
@@ -113,7 +113,7 @@ class Worker:
 
 
 def is_builtin(task: str) -> bool:
-    return task.removeprefix("builtins.") in BUILTINS
+    return plain_name(task) in BUILTINS
 
 
 def find(task: str) -> Task:
@@ -124,7 +124,7 @@ def find(task: str) -> Task:
 
 
 def argument_names(task: str) -> list[str]:
-    task = task.removeprefix("builtins.")
+    task = plain_name(task)
     if task in BUILTINS:
         return list(inspect.signature(BUILTINS[task]).parameters)
     if task == "fold":

@@ -76,14 +76,14 @@ def test_a_workers_declarations_read_back():
 def test_domain_tasks(spark):
     assert sum(len(t) for t in domain.TASKS.values()) == 47
     b = Builder("c")
-    graph = b.outputs(value=b.task("pytket.n_qubits", circuit=b["c"]))
-    with pytest.raises(domain.NotProvided, match="pytket.n_qubits"):
+    graph = b.outputs(value=b.task("circuit.n_qubits", circuit=b["c"]))
+    with pytest.raises(domain.NotProvided, match="circuit.n_qubits"):
         run(spark.range(1), graph, keep=[], c="q0 q1")
 
     def n_qubits(circuit: str) -> int:
         return len(circuit.split())
 
-    domain.provide("pytket.n_qubits", n_qubits)
+    domain.provide("circuit.n_qubits", n_qubits)
     assert run(spark.range(1), graph, keep=[], c="q0 q1").first().value == 2
     with pytest.raises(KeyError):
-        domain.provide("pytket.nothing", n_qubits)
+        domain.provide("circuit.nothing", n_qubits)

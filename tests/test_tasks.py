@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import BUILTINS as B
+from skein.functions import BUILTINS as B, plain_name
 from skein.types import literal
 
 
@@ -42,40 +42,40 @@ def value(spark, task, *args):
         ("ipow", (-2, 3), -8),
         ("ipow", (5, 0), 1),
         ("pow", (2.0, 0.5), 2**0.5),
-        ("tkr_abs", (-3,), 3),
-        ("tkr_round", (2.5,), 2),
-        ("tkr_round", (3.5,), 4),
-        ("tkr_round", (-0.5,), 0),
+        ("abs", (-3,), 3),
+        ("round", (2.5,), 2),
+        ("round", (3.5,), 4),
+        ("round", (-0.5,), 0),
         ("neg", (True,), False),
-        ("trk_and", (True, False), False),
-        ("trk_or", (True, False), True),
-        ("tkr_id", ("x",), "x"),
-        ("tkr_tuple", (1, "a"), (1, "a")),
+        ("and", (True, False), False),
+        ("or", (True, False), True),
+        ("id", ("x",), "x"),
+        ("tuple", (1, "a"), (1, "a")),
         ("untuple", ((1, "a"),), {"a": 1, "b": "a"}),
         ("str_eq", ("a", "a"), True),
         ("str_neq", ("a", "A"), True),
         ("concat", ("a", "é"), "aé"),
-        ("tkr_encode", ("é",), "é".encode()),
-        ("tkr_decode", ("é".encode(),), "é"),
-        ("tkr_str", (True,), "True"),
-        ("tkr_str", (-3,), "-3"),
-        ("tkr_str", (1e16,), "1e+16"),
-        ("tkr_str", (1.5e-5,), "1.5e-05"),
-        ("tkr_str", (12345678.9,), "12345678.9"),
-        ("tkr_str", (0.0001,), "0.0001"),
-        ("tkr_int", (3.9,), 3),
-        ("tkr_int", (-3.9,), -3),
-        ("tkr_int", (" 12 ",), 12),
-        ("tkr_int", (True,), 1),
+        ("encode", ("é",), "é".encode()),
+        ("decode", ("é".encode(),), "é"),
+        ("str", (True,), "True"),
+        ("str", (-3,), "-3"),
+        ("str", (1e16,), "1e+16"),
+        ("str", (1.5e-5,), "1.5e-05"),
+        ("str", (12345678.9,), "12345678.9"),
+        ("str", (0.0001,), "0.0001"),
+        ("int", (3.9,), 3),
+        ("int", (-3.9,), -3),
+        ("int", (" 12 ",), 12),
+        ("int", (True,), 1),
         ("append", ([1], 2), [1, 2]),
         ("head", ([1, 2, 3],), {"head": 1, "rest": [2, 3]}),
         ("head", ([1],), {"head": 1, "rest": []}),
-        ("tkr_len", ([1, 2],), 2),
-        ("tkr_zip", ([1, 2, 3], ["a", "b"]), [(1, "a"), (2, "b")]),
-        ("tkr_zip", ([], [1]), []),
+        ("len", ([1, 2],), 2),
+        ("zip", ([1, 2, 3], ["a", "b"]), [(1, "a"), (2, "b")]),
+        ("zip", ([], [1]), []),
         ("unzip", ([(1, "a"), (2, "b")],), {"a": [1, 2], "b": ["a", "b"]}),
-        ("tkr_reversed", ([1, 2],), [2, 1]),
-        ("tkr_extend", ([1], [2, 3]), [1, 2, 3]),
+        ("reversed", ([1, 2],), [2, 1]),
+        ("extend", ([1], [2, 3]), [1, 2, 3]),
         ("concat_lists", ([], [2]), [2]),
         ("sort_number_list", ([3, 1, 2],), [1, 2, 3]),
         ("sort_string_list", (["b", "B", "é", "a"],), ["B", "a", "b", "é"]),
@@ -93,11 +93,11 @@ def value(spark, task, *args):
         ("mean", ([1.0, 2.0],), 1.5),
         ("max_item", ([1, 3, 2],), 3),
         ("min_item", ([1, 3, 2],), 1),
-        ("tkr_all", ([],), True),
-        ("tkr_any", ([],), False),
-        ("tkr_all", ([1, 0],), False),
-        ("tkr_any", (["", "a"],), True),
-        ("tkr_sleep", (0.0,), True),
+        ("all", ([],), True),
+        ("any", ([],), False),
+        ("all", ([1, 0],), False),
+        ("any", (["", "a"],), True),
+        ("sleep", (0.0,), True),
         ("conjugate", (1 + 2j,), (1.0, -2.0)),
     ],
 )
@@ -109,7 +109,7 @@ def test_value(spark, task, args, want):
 
 @pytest.mark.parametrize(
     "task, args",
-    [("divide", (1, 0)), ("idivide", (1, 0)), ("mod", (1, 0)), ("head", ([],)), ("unzip", ([],)), ("mean", ([],)), ("max_item", ([],)), ("min_item", ([],)), ("ipow", (2, -1)), ("tkr_int", ("3.9",)), ("tkr_decode", (b"\xff",)), ("iadd", (2**63 - 1, 1))],
+    [("divide", (1, 0)), ("idivide", (1, 0)), ("mod", (1, 0)), ("head", ([],)), ("unzip", ([],)), ("mean", ([],)), ("max_item", ([],)), ("min_item", ([],)), ("ipow", (2, -1)), ("int", ("3.9",)), ("decode", (b"\xff",)), ("iadd", (2**63 - 1, 1))],
 )
 def test_errors_are_raised_not_nulls(spark, task, args):
     with pytest.raises(Exception):
@@ -128,6 +128,11 @@ def test_random_is_within_both_ends(spark):
     assert got == {1, 2, 3}
 
 
+def test_names_with_a_prefix():
+    assert plain_name("x_abs") == "abs" and plain_name("builtins.x_and") == "and" and plain_name("iadd") == "iadd"
+    assert plain_name("worker.x_abs") == "worker.x_abs"
+
+
 def test_every_task_has_a_test():
     tested = {c[0] for c in test_value.pytestmark[0].args[1]} | {"rand_int"}
     assert set(B) - tested == {"fold_values"}  # gathers are tested with graphs
