@@ -105,8 +105,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = scratch.write(classes.select("c", "at").join(named, "c", "left_semi").select("c", F.col("at._id").alias("_id"), F.col("at._no").alias("_no")), "line-firsts")
     asked = scratch.write(firsts.groupBy("_id").agg(F.collect_list(F.struct("c", "_no")).alias("asked")), "line-asked")
     near_by = prune.may_join(base.withColumn("_key", F.xxhash64("_id")), "_key", asked.select(F.xxhash64("_id").alias("_key")))
-    held = near_by.join(asked, near_by["_id"].eqNullSafe(asked["_id"])).select(near_by["_id"].alias("_id"), F.split("_text", "\n").alias("t"), F.explode("asked").alias("x"))
-    sets = held.select("_id", F.col("x._no").alias("_no"), F.col("x.c").alias("c"), F.get("t", F.col("x._no")).alias("_line"))
+    held = near_by.join(asked, near_by["_id"].eqNullSafe(asked["_id"])).select(near_by["_id"].alias("_id"), F.split("_text", "\n").alias("t"), "asked")
+    named = F.transform("asked", lambda x: F.struct(x["c"].alias("c"), x["_no"].alias("_no"), F.get(F.col("t"), x["_no"]).alias("_line")))
+    sets = held.select("_id", F.explode(named).alias("x")).select("_id", "x.*")
     sets = scratch.write(sets.select("c", F.struct("_id", "_no").alias("at"), _ordered(F.col("_line"), ranks).alias("s")).filter(F.xxhash64("s") == F.col("c")).dropDuplicates(["c"]), "line-sets")
     # 256 parts tell more than 64, and are small enough to travel for each pair, which whole sets are not
     wide = sets.select("c", F.size("s").alias("n"), *[_bitmap(F.filter("s", lambda x: _quarter(x) == q)).alias(f"m{q}") for q in range(4)])
