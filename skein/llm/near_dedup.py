@@ -107,24 +107,28 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def _equal_zeros(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Chance that unrelated registers of sets of these sizes agree: equal leading-zero counts and mantissas."""
-    k = np.arange(0, _VALUE_BITS)[None, :]
-    p = lambda x: np.exp(-np.maximum(x, 1)[:, None] / REGISTERS * 2.0 ** -(k + 1)) - np.exp(-np.maximum(x, 1)[:, None] / REGISTERS * 2.0**-k)
-    a, b = p(n.astype(float)), p(m.astype(float))
-    a, b = a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
-    return (a * b).sum(1) / (1 << MANTISSA)
+def _zero_counts(n: np.ndarray) -> np.ndarray:
+    """Chances of each leading-zero count of a register of a set of this size."""
+    load = np.maximum(n, 1).astype(float)[:, None] / REGISTERS
+    edge = np.exp(-load * 2.0 ** -np.arange(0, _VALUE_BITS + 1)[None, :])
+    p = edge[:, 1:] - edge[:, :-1]
+    return p / p.sum(1, keepdims=True)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard similarity of rows of registers."""
-    c = _equal_zeros(n, m)
+    """Collision-corrected Jaccard similarity of rows of registers.
+
+    Unrelated registers of sets of sizes n and m agree where both leading-zero counts and mantissas do.
+    """
+    c = (_zero_counts(n) * _zero_counts(m)).sum(1) / (1 << MANTISSA)
     return ((a == b).mean(axis=1) - c) / (1 - c)
 
 
+LEAST = THRESHOLD / 100 - MARGIN
+
+
 def _plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    lo, hi = np.minimum(n, m), np.maximum(n, m)
-    return (100 * lo >= THRESHOLD * hi) & (estimate(a, b, n, m) >= THRESHOLD / 100 - MARGIN)
+    return (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)) & (estimate(a, b, n, m) >= LEAST)
 
 
 def _sig(column: pa.Array) -> np.ndarray:
@@ -147,8 +151,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = _plausible(_sig(batch.column(2)), _sig(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+        for at in range(0, len(batch), 2048):
+            part = batch.slice(at, 2048)
+            keep = _plausible(_sig(part.column(2)), _sig(part.column(3)), part.column(4).to_numpy(), part.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -194,15 +200,21 @@ def _alike_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         comp, n, own, i, j = (t.column(c).to_numpy() for c in ("comp", "n", "own", "i", "j"))
         sig = _sig(t.column("sig").combine_chunks())
         left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        # one correction for each pair of sizes that occurs, few in a bucket
+        sizes, size = np.unique(n, return_inverse=True)
+        zeros = _zero_counts(sizes)
+        chance = zeros @ zeros.T / (1 << MANTISSA)
         known, links = _Union(), []
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            a, b = np.nonzero(comp[x][:, None] != comp[right][None, :])
-            a, b = x[a], right[b]
-            good = _plausible(sig[a], sig[b], n[a], n[b])
-            for p, q in zip(comp[a[good]].tolist(), comp[b[good]].tolist(), strict=True):
-                if known.join(p, q):
-                    links.append((p, q))
+        for x in left.tolist():
+            lo, hi = np.minimum(n[x], n[right]), np.maximum(n[x], n[right])
+            y = right[(comp[right] != comp[x]) & (100 * lo >= THRESHOLD * hi)]
+            if not len(y):
+                continue
+            c = chance[size[x], size[y]]
+            good = y[((sig[y] == sig[x]).mean(axis=1) - c) / (1 - c) >= LEAST]
+            for q in comp[good].tolist():
+                if known.join(int(comp[x]), q):
+                    links.append((int(comp[x]), q))
         if links:
             yield _pairs_of(links)
 
