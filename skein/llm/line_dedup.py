@@ -27,11 +27,11 @@ def _bucket(h: Column) -> Column:
 def _ordered(line: Column, ranks: Column) -> Column:
     """Distinct words as numbers, rarest first: the rank of a word's counter above the other bits of its hash."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         return F.get(ranks, _bucket(h).cast("int")) + F.shiftrightunsigned(h, 64 - _KEEP)
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), code)))
+    words = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(words, code))
 
 
 def _bitmap(s: Column) -> Column:
