@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skein.llm import prune, scratch
 from skein.llm.text import own_columns
 
-#: Least Jaccard similarity, per cent.
+#: Least Jaccard similarity, per cent, where a call names none.
 THRESHOLD = 90
 BUCKETS = 65536
 _KEEP = 63 - (BUCKETS - 1).bit_length()
@@ -48,16 +48,16 @@ def _lacking(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
 
 
-def _need(n: Column, m: Column) -> Column:
-    """Least overlap of sets of these sizes, times (100 + THRESHOLD)."""
-    return (n + m) * THRESHOLD
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """Least overlap of sets of these sizes, times (100 + percent)."""
+    return (n + m) * percent
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """One row per id: ``id_col``, n_lines, n_removed, n_links, removed (numbers of removed lines, ascending from 0).
 
     Lines are ordered by id and number.  A line is removed when an earlier one has a
-    Jaccard similarity of 0.9 or more with it, be that one removed or not.  n_links counts, over the
+    Jaccard similarity of ``percent`` per cent or more with it, be that one removed or not.  n_links counts, over the
     document's lines, the other classes that each is similar to.  Lines without words are
     never removed and link nothing.
 
@@ -78,8 +78,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     lines = base.select("_id", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
     n = F.col("n")
-    prefix = n - F.ceil(n * THRESHOLD / 100) + 1
-    able = n * 100 >= (n + 1) * THRESHOLD  # else only an equal set is similar enough
+    prefix = n - F.ceil(n * percent / 100) + 1
+    able = n * 100 >= (n + 1) * percent  # else only an equal set is similar enough
     places = lines.select("_id", "_no", _ordered(F.col("_line"), ranks).alias("s")).select("_id", "_no", F.size("s").alias("n"), "s")
     places = places.select("_id", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), F.when(able, F.slice("s", 1, prefix.cast("int"))).alias("p"), F.when(able, _bitmap(F.col("s"))).alias("m"))
     places = scratch.write(places, "lines")
@@ -94,9 +94,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = (
         left.join(right, "w")
         .filter("ca < cb")
-        .filter((F.col("na") * 100 >= F.col("nb") * THRESHOLD) & (F.col("nb") * 100 >= F.col("na") * THRESHOLD))
-        .filter((F.col("nb") - lacks) * (100 + THRESHOLD) >= _need(F.col("na"), F.col("nb")))
-        .filter(overlap * (100 + THRESHOLD) >= _need(F.col("na"), F.col("nb")))
+        .filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+        .filter((F.col("nb") - lacks) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        .filter(overlap * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
     )
     pairs = scratch.write(near.select("ca", "cb").distinct(), "line-pairs")
 
@@ -114,10 +114,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wa, wb = (wide.select(*[F.col(x).alias(x + side) for x in wide.columns]) for side in "ab")
     lack = [sum((_lacking(F.col(f"m{q}{x}"), F.col(f"m{q}{y}")) for q in range(4)), F.lit(0)) for x, y in ("ab", "ba")]
     most = F.least(F.col("na") - lack[0], F.col("nb") - lack[1])
-    pairs = scratch.write(pairs.join(wa, "ca").join(wb, "cb").filter(most * (100 + THRESHOLD) >= _need(F.col("na"), F.col("nb"))).select("ca", "cb"), "line-likely")
+    pairs = scratch.write(pairs.join(wa, "ca").join(wb, "cb").filter(most * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent)).select("ca", "cb"), "line-likely")
     whole = pairs.join(sets.select(F.col("c").alias("ca"), F.col("at").alias("ta"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("at").alias("tb"), F.col("s").alias("sb")), "cb")
     common = F.size(F.array_intersect("sa", "sb"))
-    links = whole.filter(common * (100 + THRESHOLD) >= _need(F.size("sa"), F.size("sb"))).select("ca", "cb", (F.col("ta") < F.col("tb")).alias("a_first"))
+    links = whole.filter(common * (100 + percent) >= _need(F.size("sa"), F.size("sb"), percent)).select("ca", "cb", (F.col("ta") < F.col("tb")).alias("a_first"))
     links = scratch.write(links, "line-links")
     sides = links.select(F.col("ca").alias("c"), (~F.col("a_first")).alias("late")).union(links.select("cb", "a_first"))
     linked = sides.groupBy("c").agg(F.max("late").alias("late"), F.count("*").alias("links"))
@@ -135,9 +135,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("_id", id_col)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """``docs`` with the lines cut from ``text_col`` that :func:`repeated_lines` removes; other columns and null texts stay."""
-    found = scratch.write(repeated_lines(docs, id_col, text_col).filter("n_removed > 0").select(F.col(id_col).alias("_cut"), F.col("removed").alias("_gone")), "line-removals")
+    found = scratch.write(repeated_lines(docs, id_col, text_col, percent).filter("n_removed > 0").select(F.col(id_col).alias("_cut"), F.col("removed").alias("_gone")), "line-removals")
     joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_cut")) & F.col("_gone").isNotNull(), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)

@@ -44,6 +44,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
+def op6_line_dedup_85(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_line_dedup, at the Jaccard similarity of 0.85 that it had before its cost was lowered."""
+    out = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), percent=85)
+    return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.word_tokens())
 
@@ -85,6 +91,7 @@ _ALL = (
     op4_exact_dedup,
     op5_toxicity,
     op6_line_dedup,
+    op6_line_dedup_85,
     op7_packing,
     op8_pii,
     op9_suffix_dedup,
@@ -161,6 +168,21 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links, coalesce(string_agg(no, ',' ORDER BY no) FILTER (gone), '') AS removed
         FROM j GROUP BY doc_id
     """,
+    "op6_line_dedup_85": """
+        WITH l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line, generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 AS no FROM documents),
+        t AS (SELECT doc_id, no, doc_id * 10000000 + no AS place, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS s FROM l),
+        k AS (SELECT *, CASE WHEN len(s) > 0 THEN array_to_string(s, ' ') END AS c FROM t),
+        c AS (SELECT c, any_value(s) AS s, len(any_value(s)) AS n, min(place) AS place FROM k WHERE c IS NOT NULL GROUP BY c),
+        w AS (SELECT c, n, unnest(s) AS w FROM c WHERE n * 100 >= (n + 1) * 85),
+        f AS (SELECT w, count(*) AS f FROM w GROUP BY w),
+        p AS (SELECT c, n, w FROM (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY f, w) AS i FROM w JOIN f USING (w)) WHERE i <= n - ceil(n * 85 / 100.0) + 1),
+        q AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.w = b.w AND a.c < b.c AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85),
+        e AS (SELECT a, b, x.place < y.place AS first FROM q JOIN c x ON a = x.c JOIN c y ON b = y.c WHERE len(list_intersect(x.s, y.s)) * 185 >= 85 * (x.n + y.n)),
+        d AS (SELECT c, count(*) AS links, bool_or(late) AS late FROM (SELECT a AS c, NOT first AS late FROM e UNION ALL SELECT b, first FROM e) GROUP BY c),
+        j AS (SELECT k.doc_id, k.no, coalesce(k.place <> c.place OR d.late, k.place <> c.place, false) AS gone, coalesce(d.links, 0) AS links FROM k LEFT JOIN c USING (c) LEFT JOIN d USING (c))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links, coalesce(string_agg(no, ',' ORDER BY no) FILTER (gone), '') AS removed
+        FROM j GROUP BY doc_id
+    """,
     "op9_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM d WHERE length(h) >= 800)),

@@ -267,6 +267,23 @@ def test_repeated_lines(spark):
         assert cut[d] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
 
 
+def test_repeated_lines_at_85(spark):
+    """One word in 13 replaced, and one added to six: both are missed at 0.9."""
+    rng = random.Random(85)
+    rows = odd_documents()
+    for i in range(30):
+        line = rng.sample(WORDS, rng.choice([6, 7, 8, 12, 13, 15, 18, 20, 40]))
+        swapped = ["swapped", *line[1:]]
+        rows.append((300 + i, "\n".join(" ".join(x) for x in (line, swapped, [*line, "added"], ["other", "words", *line[2:]]))))
+    want = brute.lines(rows, percent=85)
+    assert sum(x[2] for x in want.values()) > sum(x[2] for x in brute.lines(rows, percent=90).values())
+    out = line_dedup.repeated_lines(frame(spark, rows), percent=85)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out.collect()} == want
+    pair = [(1, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l z"), (3, "p q r s t u"), (4, "p q r s t u v")]
+    cut = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame(spark, pair), percent=85).collect()}
+    assert cut == {1: pair[0][1], 2: "", 3: pair[2][1], 4: ""}
+
+
 def test_packing_bins():
     rng = random.Random(4)
     for _ in range(50):
