@@ -6,8 +6,8 @@ pairs leaves only the stretches that can hold a window, so the automaton itself
 words of a clean corpus.
 
 Items are bounded in number by what people write as tests, yet their size is measured:
-beyond ``SHARD_BYTES`` they are dealt to shards, each with an automaton of its own, and the
-documents are streamed once for each shard.
+beyond ``SHARD_BYTES`` they are dealt to shards, each with an automaton of its own; what
+the shards find in a row is united where the row stands.
 """
 
 from __future__ import annotations
@@ -224,64 +224,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """
     base = own_columns(docs, id_col, text_col).toDF("_id", "_text")
     kind = base.schema["_id"].dataType
-    parts = []
-    matchers = _shards(benchmark, item_col, "text", window)
-    for matcher in matchers:
-        shared = docs.sparkSession.sparkContext.broadcast(matcher)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            for batch in batches:
-                data, offsets = K.flat(batch.column(1))
-                n_words, spans, places, items = [], [], [], []
-                for _, _, part, at in K.blocks(data, offsets):
-                    counts, found, (starts, ends, first) = m.block(part, at)
-                    n_words.append(counts)
-                    for row in range(len(counts)):
-                        hit = found.get(row)
-                        merged = merge(hit[0]) if hit else []
-                        spans.append([{"first": a - int(first[row]), "last": b - int(first[row])} for a, b in merged])
-                        places.append([{"first": int(starts[a] - at[row]), "last": int(ends[b] - at[row])} for a, b in merged])
-                        items.append(sorted(hit[1]) if hit else [])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(spans, span), pa.array(places, span), pa.array(items, pa.list_(pa.string()))],
-                    ["_id", "n_words", "words", "bytes", "items"],
-                )
-
-        parts.append(base.mapInArrow(run, _SCHEMA.replace("_id long", f"_id {kind.simpleString()}")))
-    if len(parts) > 1:
-        found = _merge_shards(base, parts)
-    else:
-        found = parts[0]
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in _shards(benchmark, item_col, "text", window)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        for batch in batches:
+            data, offsets = K.flat(batch.column(1))
+            n_words, spans, places, items = [], [], [], []
+            for _, _, part, at in K.blocks(data, offsets):
+                found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+                for m in shared:
+                    counts, own, (starts, ends, first) = m.value.block(part, at)
+                    for row, (hits, owners) in own.items():
+                        old = found.setdefault(row, ([], set()))
+                        old[0].extend(hits)
+                        old[1].update(owners)
+                n_words.append(counts)
+                for row in range(len(counts)):
+                    hit = found.get(row)
+                    merged = merge(hit[0]) if hit else []
+                    spans.append([{"first": a - int(first[row]), "last": b - int(first[row])} for a, b in merged])
+                    places.append([{"first": int(starts[a] - at[row]), "last": int(ends[b] - at[row])} for a, b in merged])
+                    items.append(sorted(hit[1]) if hit else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(spans, span), pa.array(places, span), pa.array(items, pa.list_(pa.string()))],
+                ["_id", "n_words", "words", "bytes", "items"],
+            )
+
+    found = base.mapInArrow(run, _SCHEMA.replace("_id long", f"_id {kind.simpleString()}"))
     n_hit = F.aggregate("words", F.lit(0).cast("long"), lambda acc, s: acc + (s["last"] - s["first"] + 1))
     out = found.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("bytes").alias("spans"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def _merge_shards(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Rows of all shards, united per document; needs ids that tell rows apart."""
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-
-    def united(c: str):
-        flat = F.array_sort(F.flatten(F.collect_list(c)))
-        return flat.alias(c)
-
-    both = both.groupBy("_id").agg(F.max("n_words").alias("n_words"), united("words"), united("bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def joined(c: str, gap: int):
-        def step(acc, s):
-            tail = F.element_at(acc, -1)
-            grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(tail["first"].alias("first"), F.greatest(tail["last"], s["last"]).alias("last"))))
-            return F.when((F.size(acc) > 0) & (s["first"] <= F.get(acc, F.size(acc) - 1)["last"] + gap), grown).otherwise(F.array_append(acc, s))
-
-        return F.aggregate(c, F.expr("cast(array() as array<struct<first:int,last:int>>)"), step).alias(c)
-
-    return both.select("_id", "n_words", joined("words", 1), joined("bytes", 0), "items")
-
-
 def items_digest(items) -> object:
     return F.sha2(F.array_join(items, ","), 256)
 

@@ -98,6 +98,29 @@ def test_decontamination(spark):
     assert sum(x[1] for x in again.values()) < sum(x[1] for x in want.values())
 
 
+def test_decontamination_in_shards_keeps_rows_apart(spark, monkeypatch):
+    """Rows that share an id or have none, over several shards: each as if it stood alone."""
+    rng = random.Random(6)
+    items = [(i, prose(rng, n)) for i, n in enumerate([30, 13, 20, 4, 25])]
+    texts = [prose(rng, 20) + " " + t + "\n" + prose(rng, 7) for _, t in items] + [items[0][1] + " " + items[4][1], prose(rng, 50), None, ""]
+    rows = [(i, t) for t in texts for i in (None, 7)] + [(7, texts[0])]
+    alone = brute.contamination(list(enumerate(texts)), items)
+    want = sorted(repr((i, *alone[texts.index(t)])) for i, t in rows)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+
+    def got():
+        out = decontaminate.find_contamination(frame(spark, rows), bench).withColumn("sha", decontaminate.items_digest(F.col("items"))).collect()
+        spans = sorted(repr((r.doc_id, r.n_words, sorted(r.spans))) for r in out)
+        return sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.sha, r.contaminated)) for r in out), spans
+
+    whole = got()
+    assert whole[0] == want
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 200)
+    assert len(list(decontaminate._shards(bench, "item_id", "text", 13))) > 2
+    assert got() == whole
+    assert decontaminate.find_contamination(with_odd_rows(spark, rows), bench).count() == len(rows) + 2
+
+
 def test_suffix_automaton_against_windows():
     rng = random.Random(1)
     for _ in range(200):
