@@ -1,7 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame operations only.
 
-A line's set holds its distinct words: what spaces separate, in lower case.  Lines with one set are one
-class.  Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over all words, whose
+A line's set holds its distinct words: what blanks (space, tab, CR, form feed, vertical tab)
+separate, in lower case.  Lines with one set are one class.  Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over all words, whose
 size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
 and positional filter), as do 64-bit bitmaps of the sets; the whole sets of what is left are compared.
@@ -20,6 +20,14 @@ BUCKETS = 65536
 _KEEP = 63 - (BUCKETS - 1).bit_length()
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, with spaces for all other blanks inside lines; a text without them is only searched."""
+    text = F.lower(text)
+    for blank in "\t\r\f\v":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
@@ -67,7 +75,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Classes are told apart by 64-bit hashes of their sets.
     """
     base = own_columns(docs, id_col, text_col).toDF("_id", "_text").select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
-    base = base.select("_id", F.lower("_text").alias("_text"))
+    base = base.select("_id", _plain(F.col("_text")).alias("_text"))
     counts = base.select(F.explode(F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     seen = {r["b"]: r["count"] for r in counts.collect()}  # BUCKETS rows at most
     order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))

@@ -169,7 +169,7 @@ ORACLE_SQL = {
         FROM j GROUP BY doc_id
     """,
     "op6_line_dedup_85": """
-        WITH l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line, generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 AS no FROM documents),
+        WITH l AS (SELECT doc_id, unnest(string_split(lower(translate(coalesce(text, ''), chr(9) || chr(13) || chr(12) || chr(11), '    ')), chr(10))) AS line, generate_subscripts(string_split(lower(translate(coalesce(text, ''), chr(9) || chr(13) || chr(12) || chr(11), '    ')), chr(10)), 1) - 1 AS no FROM documents),
         t AS (SELECT doc_id, no, doc_id * 10000000 + no AS place, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS s FROM l),
         k AS (SELECT *, CASE WHEN len(s) > 0 THEN array_to_string(s, ' ') END AS c FROM t),
         c AS (SELECT c, any_value(s) AS s, len(any_value(s)) AS n, min(place) AS place FROM k WHERE c IS NOT NULL GROUP BY c),

@@ -307,6 +307,18 @@ def test_repeated_lines_at_85(spark):
     assert cut == {1: pair[0][1], 2: "", 3: pair[2][1], 4: ""}
 
 
+def test_repeated_lines_with_other_blanks(spark):
+    """Tabs, CRLF, form feeds and vertical tabs separate words as spaces do; the texts themselves stay."""
+    plain = "a b c d e f\ng h i\nj k l m n o p\n"
+    rows = [(1, plain), (2, plain.replace("\n", "\r\n")), (3, plain.replace(" ", "\t")), (4, plain.replace(" ", "\f")), (5, plain.replace(" ", "\v")), (6, "q\tr \t\r\n\r\n\t")]
+    want = brute.lines([(d, t.translate(dict.fromkeys(map(ord, "\t\r\f\v"), " "))) for d, t in rows])
+    assert [want[d][1] for d, _ in rows] == [0, 3, 3, 3, 3, 0]
+    out = line_dedup.repeated_lines(frame(spark, rows))
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out.collect()} == want
+    cut = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert (cut[1], cut[2], cut[6]) == (plain, "", rows[5][1])
+
+
 def test_packing_bins():
     rng = random.Random(4)
     for _ in range(50):
