@@ -4,7 +4,12 @@ A line's set holds its distinct words: what blanks (space, tab, CR, form feed, v
 separate, in lower case.  Lines with one set are one class.  Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over all words, whose
 size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
-and positional filter), as do 64-bit bitmaps of the sets; the whole sets of what is left are compared.
+and positional filter), as do 64-bit bitmaps of the sets.
+
+No step makes a row for each pair.  Semi-joins leave the (word, class) rows at which some other class
+may be similar, first by these filters, then by wider bitmaps and only where the word is the rarest that both share.
+What is left meets by word in blocks of bounded size: a class is held against a whole block, whole sets are
+compared inside the row, and the row gives a count.  Each pair meets at one word, so that counts add up.
 """
 
 from __future__ import annotations
@@ -12,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.llm import prune, scratch
-from skein.llm.text import own_columns
+from skein.llm.text import free_name, own_columns
 
 #: Least Jaccard similarity, per cent, where a call names none.
-THRESHOLD = 90
+THRESHOLD = 85
 BUCKETS = 65536
+#: Members of one block of the last step.
+BLOCK = 256
 _KEEP = 63 - (BUCKETS - 1).bit_length()
 
 
@@ -56,26 +63,30 @@ def _lacking(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
 
 
+def _sizes(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
+
 def _need(n: Column, m: Column, percent: int) -> Column:
     """Least overlap of sets of these sizes, times (100 + percent)."""
     return (n + m) * percent
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
-    """One row per id: ``id_col``, n_lines, n_removed, n_links, removed (numbers of removed lines, ascending from 0).
+    """One row per id and text: ``id_col``, row_key, n_lines, n_removed, n_links, removed (numbers of removed lines, ascending from 0).
 
     Lines are ordered by id and number.  A line is removed when an earlier one has a
     Jaccard similarity of ``percent`` per cent or more with it, be that one removed or not.  n_links counts, over the
     document's lines, the other classes that each is similar to.  Lines without words are
     never removed and link nothing.
 
-    Null text counts as empty, one line without words.  Rows that repeat an id are one document, whose lines
-    with one number come at the same place and do not remove each other.  Null ids are one
-    document too, and come first.  An empty table gives an empty result.  Other columns are ignored.
-    Classes are told apart by 64-bit hashes of their sets.
+    Null text counts as empty, one line without words.  Rows with one id and different texts are documents of
+    their own, told apart by ``row_key``, a hash of the text, which also orders them.  Rows that repeat id and text are one document,
+    whose lines with one number come at the same place and do not remove each other.  Null ids come first.
+    An empty table gives an empty result.  Other columns are ignored.  Classes are told apart by 64-bit hashes of their sets.
     """
-    base = own_columns(docs, id_col, text_col).toDF("_id", "_text").select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
-    base = base.select("_id", _plain(F.col("_text")).alias("_text"))
+    base = own_columns(docs, id_col, text_col).toDF("_id", "_text").select("_id", F.xxhash64("_text").alias("_h"), _plain(F.coalesce("_text", F.lit(""))).alias("_text"))
     counts = base.select(F.explode(F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     seen = {r["b"]: r["count"] for r in counts.collect()}  # BUCKETS rows at most
     order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))
@@ -84,68 +95,94 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rank[b] = i
     ranks = F.split(F.lit(",".join(str(r << _KEEP) for r in rank)), ",").cast("array<bigint>")
 
-    lines = base.select("_id", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
+    lines = base.select("_id", "_h", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
     n = F.col("n")
-    prefix = n - F.ceil(n * percent / 100) + 1
+    prefix = (n - F.ceil(n * percent / 100) + 1).cast("int")
     able = n * 100 >= (n + 1) * percent  # else only an equal set is similar enough
-    places = lines.select("_id", "_no", _ordered(F.col("_line"), ranks).alias("s")).select("_id", "_no", F.size("s").alias("n"), "s")
-    places = places.select("_id", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), F.when(able, F.slice("s", 1, prefix.cast("int"))).alias("p"), F.when(able, _bitmap(F.col("s"))).alias("m"))
-    places = scratch.write(places, "lines")
-    classes = places.filter("c is not null").groupBy("c").agg(F.min(F.struct("_id", "_no")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("m").alias("m"))
+    at = F.struct("_id", "_h", "_no")
+    full = lines.select("_id", "_h", "_no", _ordered(F.col("_line"), ranks).alias("s")).select("_id", "_h", "_no", F.size("s").alias("n"), "s")
+    full = full.select("_id", "_h", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), F.when(able, F.slice("s", 1, prefix)).alias("p"), F.when(able, _bitmap(F.col("s"))).alias("m"))
+    full = scratch.write(full, "lines")
+    classes = full.filter("c is not null").groupBy("c").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("m").alias("m"))
     classes = scratch.write(classes, "line-classes")
+    places = scratch.write(full.select("_id", "_h", "_no", "c"), "line-places")
+    scratch.drop(full)
 
-    rare = classes.filter("p is not null").select("c", "n", "m", F.posexplode("p").alias("i", "w"))
-    left, right = (rare.select("w", *[F.col(x).alias(x + s) for x in ("c", "n", "m", "i")]) for s in "ab")
-    overlap = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    # classes that some other class may be similar to, at each word of their prefix where one is met
+    index = classes.filter("p is not null").select("c", "n", "m", F.posexplode("p").alias("i", "w"))
+    left, right = (index.select(*[F.col(x).alias(x + side) for x in ("w", "c", "n", "m", "i")]) for side in "ab")
+    overlap = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     # a part that only one side has words of stands for a word that the other lacks
     lacks = F.greatest(F.col("nb") - F.col("na") + _lacking(F.col("ma"), F.col("mb")), _lacking(F.col("mb"), F.col("ma")))
     near = (
-        left.join(right, "w")
-        .filter("ca < cb")
-        .filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        .filter((F.col("nb") - lacks) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
-        .filter(overlap * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        (F.col("wa") == F.col("wb"))
+        & (F.col("ca") != F.col("cb"))
+        & _sizes(F.col("na"), F.col("nb"), percent)
+        & ((F.col("nb") - lacks) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        & (overlap * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
     )
-    pairs = scratch.write(near.select("ca", "cb").distinct(), "line-pairs")
-
-    # whole sets of the classes that are in a pair, from the places where they first stand
-    named = pairs.select(F.col("ca").alias("c")).union(pairs.select("cb")).distinct()
-    firsts = scratch.write(classes.select("c", "at").join(named, "c", "left_semi").select("c", F.col("at._id").alias("_id"), F.col("at._no").alias("_no")), "line-firsts")
-    asked = scratch.write(firsts.groupBy("_id").agg(F.collect_list(F.struct("c", "_no")).alias("asked")), "line-asked")
-    near_by = prune.may_join(base.withColumn("_key", F.xxhash64("_id")), "_key", asked.select(F.xxhash64("_id").alias("_key")))
-    held = near_by.join(asked, near_by["_id"].eqNullSafe(asked["_id"])).select(near_by["_id"].alias("_id"), F.split("_text", "\n").alias("t"), "asked")
-    named = F.transform("asked", lambda x: F.struct(x["c"].alias("c"), x["_no"].alias("_no"), F.get(F.col("t"), x["_no"]).alias("_line")))
-    sets = held.select("_id", F.explode(named).alias("x")).select("_id", "x.*")
-    sets = scratch.write(sets.select("c", F.struct("_id", "_no").alias("at"), _ordered(F.col("_line"), ranks).alias("s")).filter(F.xxhash64("s") == F.col("c")).dropDuplicates(["c"]), "line-sets")
-    # 256 parts tell more than 64, and are small enough to travel for each pair, which whole sets are not
-    wide = sets.select("c", F.size("s").alias("n"), *[_bitmap(F.filter("s", lambda x: _quarter(x) == q)).alias(f"m{q}") for q in range(4)])
-    wa, wb = (wide.select(*[F.col(x).alias(x + side) for x in wide.columns]) for side in "ab")
+    met = scratch.write(left.join(right, near, "left_semi").select(F.col("wa").alias("w"), F.col("ca").alias("c")), "line-met")
+
+    # whole sets of those classes, from the places where they first stand
+    key = F.xxhash64("_id", "_h", "_no")
+    firsts = classes.join(met.select("c").distinct(), "c", "left_semi").select("c", "at")
+    firsts = scratch.write(firsts.select("c", "at", F.xxhash64("at._id", "at._h", "at._no").alias("_key")), "line-firsts")
+    held = prune.may_join(lines.withColumn("_key", key), "_key", firsts.select("_key")).select("_key", "_line")
+    sets = held.join(firsts, "_key").select("c", "at", _ordered(F.col("_line"), ranks).alias("s")).filter(F.xxhash64("s") == F.col("c")).dropDuplicates(["c"])
+    sets = scratch.write(sets.select("c", "at", F.size("s").alias("n"), "s", *[_bitmap(F.filter("s", lambda x: _quarter(x) == q)).alias(f"m{q}") for q in range(4)]), "line-sets")
+
+    # 256 parts tell more than 64; of the words that two classes share, only the rarest is where they meet
+    wide = ["n", *[f"m{q}" for q in range(4)], "p"]
+    shown = met.join(sets.withColumn("p", F.slice("s", 1, prefix)).select("c", *wide), "c")
+    left, right = (shown.select(*[F.col(x).alias(x + side) for x in ("w", "c", *wide)]) for side in "ab")
     lack = [sum((_lacking(F.col(f"m{q}{x}"), F.col(f"m{q}{y}")) for q in range(4)), F.lit(0)) for x, y in ("ab", "ba")]
     most = F.least(F.col("na") - lack[0], F.col("nb") - lack[1])
-    pairs = scratch.write(pairs.join(wa, "ca").join(wb, "cb").filter(most * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent)).select("ca", "cb"), "line-likely")
-    whole = pairs.join(sets.select(F.col("c").alias("ca"), F.col("at").alias("ta"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("at").alias("tb"), F.col("s").alias("sb")), "cb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = whole.filter(common * (100 + percent) >= _need(F.size("sa"), F.size("sb"), percent)).select("ca", "cb", (F.col("ta") < F.col("tb")).alias("a_first"))
-    links = scratch.write(links, "line-links")
-    sides = links.select(F.col("ca").alias("c"), (~F.col("a_first")).alias("late")).union(links.select("cb", "a_first"))
-    linked = sides.groupBy("c").agg(F.max("late").alias("late"), F.count("*").alias("links"))
-    told = classes.select("c", "at", "copies").join(linked, "c", "left").filter("copies > 1 or links is not null")
+    near = (
+        (F.col("wa") == F.col("wb"))
+        & (F.col("ca") != F.col("cb"))
+        & _sizes(F.col("na"), F.col("nb"), percent)
+        & (most * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("wa"))
+    )
+    met = scratch.write(left.join(right, near, "left_semi").select(F.col("wa").alias("w"), F.col("ca").alias("c")), "line-likely")
+
+    # each class against the blocks of those that meet it at a word; links are counted, not made
+    parts = met.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    member = scratch.write(met.join(parts, "w").join(sets.select("c", "at", "s"), "c"), "line-members")
+    blocks = member.groupBy("w", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part")).agg(F.collect_list(F.struct("c", "at", "s")).alias("block"))
+    asked = member.select("w", "c", "at", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    alike = F.filter("block", lambda y: (y["c"] != F.col("c")) & _sizes(F.size("s"), F.size(y["s"]), percent))
+    alike = F.transform(alike, lambda y: F.struct(F.array_intersect(F.col("s"), y["s"]).alias("common"), F.size(y["s"]).alias("n"), (y["at"] < F.col("at")).alias("before")))
+    alike = F.filter(alike, lambda y: (F.size(y["common"]) * (100 + percent) >= _need(F.size("s"), y["n"], percent)) & (F.get(y["common"], F.lit(0)) == F.col("w")))
+    told = asked.join(blocks, ["w", "part"]).select("c", alike.alias("alike"))
+    told = told.select("c", F.size("alike").alias("links"), F.exists("alike", lambda y: y["before"]).alias("late"))
+    linked = scratch.write(told.groupBy("c").agg(F.max("late").alias("late"), F.sum("links").alias("links")), "line-links")
+
+    told = classes.select("c", "at", "copies").join(linked, "c", "left").filter("copies > 1 or links > 0")
     told = scratch.write(told.select("c", "at", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links")), "line-told")
+    scratch.drop(classes, firsts, sets, met, member, linked)
 
-    gone = F.coalesce(F.col("late") | (F.struct("_id", "_no") != F.col("at")), F.lit(False))
-    judged = places.select("_id", "_no", "c").join(told, "c", "left").select("_id", "_no", gone.alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = judged.groupBy("_id").agg(
+    gone = F.coalesce(F.col("late") | (at != F.col("at")), F.lit(False))
+    judged = places.join(told, "c", "left").select("_id", "_h", "_no", gone.alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = judged.groupBy("_id", "_h").agg(
         F.count("*").alias("n_lines"),
         F.sum(F.col("gone").cast("long")).alias("n_removed"),
         F.sum("links").cast("long").alias("n_links"),
         F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("gone"), F.col("_no"))))).alias("removed"),
     )
-    return out.withColumnRenamed("_id", id_col)
+    return out.withColumnsRenamed({"_id": id_col, "_h": "row_key"})
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
-    """``docs`` with the lines cut from ``text_col`` that :func:`repeated_lines` removes; other columns and null texts stay."""
-    found = scratch.write(repeated_lines(docs, id_col, text_col, percent).filter("n_removed > 0").select(F.col(id_col).alias("_cut"), F.col("removed").alias("_gone")), "line-removals")
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_cut")) & F.col("_gone").isNotNull(), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    """``docs`` with the lines cut from ``text_col`` that :func:`repeated_lines` removes; other columns and null texts stay.
+
+    A row for each input row: rows with one id and different texts are cut each for itself, repeated rows
+    alike, null ids like others.  An empty table gives an empty result.  Columns of any name may stand beside these.
+    """
+    cut, key, gone = (free_name(docs, x) for x in ("cut", "key", "gone"))
+    found = repeated_lines(docs, id_col, text_col, percent).filter("n_removed > 0").select(F.col(id_col).alias(cut), F.col("row_key").alias(key), F.col("removed").alias(gone))
+    found = scratch.write(found, "line-removals")
+    text = docs[f"`{text_col}`"]
+    joined = docs.join(found, docs[f"`{id_col}`"].eqNullSafe(F.col(cut)) & (F.xxhash64(text) == F.col(key)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull() | text.isNull(), text).otherwise(kept)).select(*[f"`{c}`" for c in docs.columns])

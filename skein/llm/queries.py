@@ -40,13 +40,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.repeated_lines(_table(spark, sf_dir, "documents")).drop("row_key")
     return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
-def op6_line_dedup_85(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_line_dedup, at the Jaccard similarity of 0.85 that it had before its cost was lowered."""
-    out = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), percent=85)
+def op6_line_dedup_90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_line_dedup, at a Jaccard similarity of 0.9."""
+    out = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), percent=90).drop("row_key")
     return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
@@ -91,7 +91,7 @@ _ALL = (
     op4_exact_dedup,
     op5_toxicity,
     op6_line_dedup,
-    op6_line_dedup_85,
+    op6_line_dedup_90,
     op7_packing,
     op8_pii,
     op9_suffix_dedup,
@@ -153,7 +153,7 @@ ORACLE_SQL = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN a USING (doc_id)
     """,
-    "op6_line_dedup": """
+    "op6_line_dedup_90": """
         WITH l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line, generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 AS no FROM documents),
         t AS (SELECT doc_id, no, doc_id * 10000000 + no AS place, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS s FROM l),
         k AS (SELECT *, CASE WHEN len(s) > 0 THEN array_to_string(s, ' ') END AS c FROM t),
@@ -168,7 +168,7 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links, coalesce(string_agg(no, ',' ORDER BY no) FILTER (gone), '') AS removed
         FROM j GROUP BY doc_id
     """,
-    "op6_line_dedup_85": """
+    "op6_line_dedup": """
         WITH l AS (SELECT doc_id, unnest(string_split(lower(translate(coalesce(text, ''), chr(9) || chr(13) || chr(12) || chr(11), '    ')), chr(10))) AS line, generate_subscripts(string_split(lower(translate(coalesce(text, ''), chr(9) || chr(13) || chr(12) || chr(11), '    ')), chr(10)), 1) - 1 AS no FROM documents),
         t AS (SELECT doc_id, no, doc_id * 10000000 + no AS place, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS s FROM l),
         k AS (SELECT *, CASE WHEN len(s) > 0 THEN array_to_string(s, ' ') END AS c FROM t),

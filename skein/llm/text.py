@@ -15,3 +15,12 @@ def ascii_lower(text: Column) -> Column:
 def own_columns(df, *names: str):
     """Only the columns an operator reads, so that clashing extra columns cannot meet its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(df, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name

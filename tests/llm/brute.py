@@ -99,11 +99,11 @@ def personal(text):
     return (*counts, sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)))
 
 
-def lines(docs, percent=90):
+def lines(docs, percent=85):
     sets, at = {}, defaultdict(list)
     for d, t in docs:
         for no, line in enumerate((t or "").split("\n")):
-            w = frozenset(x for x in line.lower().split(" ") if x)
+            w = frozenset(x for x in re.split("[ \t\r\f\v]", line.lower()) if x)
             sets[d, no] = w
             at[w].append((d, no))
     classes = [w for w in at if w]

@@ -300,11 +300,47 @@ def test_repeated_lines_at_85(spark):
         rows.append((300 + i, "\n".join(" ".join(x) for x in (line, swapped, [*line, "added"], ["other", "words", *line[2:]]))))
     want = brute.lines(rows, percent=85)
     assert sum(x[2] for x in want.values()) > sum(x[2] for x in brute.lines(rows, percent=90).values())
-    out = line_dedup.repeated_lines(frame(spark, rows), percent=85)
+    out = line_dedup.repeated_lines(frame(spark, rows))
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out.collect()} == want
     pair = [(1, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l z"), (3, "p q r s t u"), (4, "p q r s t u v")]
     cut = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame(spark, pair), percent=85).collect()}
     assert cut == {1: pair[0][1], 2: "", 3: pair[2][1], 4: ""}
+    want = brute.lines(rows, percent=90)
+    out = line_dedup.repeated_lines(frame(spark, rows), percent=90)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_large_families_of_lines(spark, monkeypatch, block):
+    """Every pair of a family is a link; families larger than a block, and links that do not reach all members."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(86)
+    rows = []
+    for f in range(3):
+        base = rng.sample(WORDS, 30)
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(30)] = f"v{f}x{i}"
+            rows.append((1000 * f + i, " ".join(w)))
+    want = brute.lines(rows)
+    assert max(x[2] for x in want.values()) > 10
+    out = line_dedup.repeated_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out} == want
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Other texts under one id are cut for themselves; extra columns may have any name."""
+    a, b = "one two three four five six seven", "p q r s t u v w x"
+    rows = [(1, a), (1, b + "\n" + a), (None, b), (None, b), (None, None), (2, "other words here"), (2, a + "\nlast")]
+    df = frame(spark, rows).selectExpr("*", "1 as _cut", "2 as _key", "3 as _gone", "4 as removed", "5 as _h", "6 as c")
+    out = line_dedup.drop_repeated_lines(df)
+    assert out.columns == df.columns
+    got = sorted(repr((r.doc_id, r.text, r._gone, r.removed)) for r in out.collect())
+    order = {(a if t == a else t): i for i, t in enumerate(sorted({a, b + "\n" + a}, key=lambda t: spark.sql("select xxhash64(?) h", [t]).first().h))}
+    first = order[a] == 0
+    want = [(1, a if first else ""), (1, "" if first else a), (None, b), (None, b), (None, None), (2, "other words here"), (2, "last")]
+    assert got == sorted(repr((i, t, 3, 4)) for i, t in want)
 
 
 def test_repeated_lines_with_other_blanks(spark):
