@@ -4,7 +4,7 @@ A line's set holds its distinct words: what blanks (space, tab, CR, form feed, v
 separate, in lower case.  Lines with one set are one class.  Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over all words, whose
 size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
-and positional filter), as do 64-bit bitmaps of the sets.
+and positional filter), as do 128-bit bitmaps of the sets.
 
 No step makes a row for each pair.  Semi-joins leave the (word, class) rows at which some other class
 may be similar, first by these filters, then by wider bitmaps and only where the word is the rarest that both share.
@@ -49,18 +49,23 @@ def _ordered(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(words, code))
 
 
-def _bitmap(s: Column) -> Column:
-    """One bit for each of 64 parts of the words, set where the set has any of them."""
-    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+def _bitmap(s: Column, part: int, parts: int) -> Column:
+    """One bit for each of 64 shares of the words that fall to ``part``, set where the set has any of them."""
 
+    def add(acc: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1)) == part, acc.bitwiseOR(bit)).otherwise(acc)
 
-def _quarter(x: Column) -> Column:
-    return F.shiftright(x, 6).bitwiseAND(F.lit(3))
+    return F.aggregate(s, F.lit(0).cast("long"), add)
 
 
-def _lacking(a: Column, b: Column) -> Column:
-    """At least so many words of ``a`` are none of ``b``: parts that only ``a`` has words of."""
-    return F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+def _most(parts: int) -> Column:
+    """Words that classes a and b can share at most: a bit that only one has stands for a word that the other lacks."""
+
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"m{q}{x}").bitwiseAND(F.bitwise_not(F.col(f"m{q}{y}")))) for q in range(parts)), F.lit(0))
+
+    return F.least(F.col("na") - lacking("a", "b"), F.col("nb") - lacking("b", "a"))
 
 
 def _sizes(n: Column, m: Column, percent: int) -> Column:
@@ -101,47 +106,45 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     able = n * 100 >= (n + 1) * percent  # else only an equal set is similar enough
     at = F.struct("_id", "_h", "_no")
     full = lines.select("_id", "_h", "_no", _ordered(F.col("_line"), ranks).alias("s")).select("_id", "_h", "_no", F.size("s").alias("n"), "s")
-    full = full.select("_id", "_h", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), F.when(able, F.slice("s", 1, prefix)).alias("p"), F.when(able, _bitmap(F.col("s"))).alias("m"))
-    full = scratch.write(full, "lines")
-    classes = full.filter("c is not null").groupBy("c").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("m").alias("m"))
-    classes = scratch.write(classes, "line-classes")
-    places = scratch.write(full.select("_id", "_h", "_no", "c"), "line-places")
-    scratch.drop(full)
+    full = full.select("_id", "_h", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), "s", *[F.when(able, _bitmap(F.col("s"), q, 2)).alias(f"m{q}") for q in range(2)])
+    # words come again and again: with a dictionary for a whole file a set takes a third of the room
+    full = scratch.write(full, "lines", **{"parquet.dictionary.page.size": 16 << 20})
+    classes = scratch.write(full.filter("c is not null").groupBy("c").agg(F.min(at).alias("at"), F.count("*").alias("copies")), "line-classes")
 
     # classes that some other class may be similar to, at each word of their prefix where one is met
-    index = classes.filter("p is not null").select("c", "n", "m", F.posexplode("p").alias("i", "w"))
-    left, right = (index.select(*[F.col(x).alias(x + side) for x in ("w", "c", "n", "m", "i")]) for side in "ab")
+    copied = prune.tester(classes.filter("copies > 1").select("c"))(F.col("c"))
+    fit = full.filter(able & (n > 0)).select("c", at.alias("here"), "n", F.slice("s", 1, prefix).alias("p"), "m0", "m1")
+    cols = ["c", "n", "p", "m0", "m1"]
+    once = fit.filter(copied).groupBy("c").agg(F.min(F.struct("here", *cols[1:])).alias("x")).select("c", *[f"x.{x}" for x in cols[1:]])
+    index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
+    left, right = (index.select(*[F.col(x).alias(x + side) for x in ("w", "c", "n", "m0", "m1", "i")]) for side in "ab")
     overlap = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    # a part that only one side has words of stands for a word that the other lacks
-    lacks = F.greatest(F.col("nb") - F.col("na") + _lacking(F.col("ma"), F.col("mb")), _lacking(F.col("mb"), F.col("ma")))
     near = (
         (F.col("wa") == F.col("wb"))
         & (F.col("ca") != F.col("cb"))
         & _sizes(F.col("na"), F.col("nb"), percent)
-        & ((F.col("nb") - lacks) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        & (_most(2) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
         & (overlap * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
     )
     met = scratch.write(left.join(right, near, "left_semi").select(F.col("wa").alias("w"), F.col("ca").alias("c")), "line-met")
 
     # whole sets of those classes, from the places where they first stand
-    key = F.xxhash64("_id", "_h", "_no")
-    firsts = classes.join(met.select("c").distinct(), "c", "left_semi").select("c", "at")
-    firsts = scratch.write(firsts.select("c", "at", F.xxhash64("at._id", "at._h", "at._no").alias("_key")), "line-firsts")
-    held = prune.may_join(lines.withColumn("_key", key), "_key", firsts.select("_key")).select("_key", "_line")
-    sets = held.join(firsts, "_key").select("c", "at", _ordered(F.col("_line"), ranks).alias("s")).filter(F.xxhash64("s") == F.col("c")).dropDuplicates(["c"])
-    sets = scratch.write(sets.select("c", "at", F.size("s").alias("n"), "s", *[_bitmap(F.filter("s", lambda x: _quarter(x) == q)).alias(f"m{q}") for q in range(4)]), "line-sets")
-
-    # 256 parts tell more than 64; of the words that two classes share, only the rarest is where they meet
+    named = scratch.write(met.select("c").distinct(), "line-named")
+    held = prune.may_join(full.select("c", at.alias("here"), "n", "s"), "c", named).groupBy("c").agg(F.min(F.struct("here", "n", "s")).alias("x"))
+    sets = held.join(named, "c", "left_semi").select("c", F.col("x.here").alias("at"), "x.n", "x.s")
+    sets = scratch.write(sets.select("c", "at", "n", "s", *[_bitmap(F.col("s"), q, 4).alias(f"m{q}") for q in range(4)]), "line-sets")
+    places = scratch.write(full.select("_id", "_h", "_no", "c"), "line-places")
+    scratch.drop(full)
+
+    # 256 parts tell more than 128; of the words that two classes share, only the rarest is where they meet
     wide = ["n", *[f"m{q}" for q in range(4)], "p"]
     shown = met.join(sets.withColumn("p", F.slice("s", 1, prefix)).select("c", *wide), "c")
     left, right = (shown.select(*[F.col(x).alias(x + side) for x in ("w", "c", *wide)]) for side in "ab")
-    lack = [sum((_lacking(F.col(f"m{q}{x}"), F.col(f"m{q}{y}")) for q in range(4)), F.lit(0)) for x, y in ("ab", "ba")]
-    most = F.least(F.col("na") - lack[0], F.col("nb") - lack[1])
     near = (
         (F.col("wa") == F.col("wb"))
         & (F.col("ca") != F.col("cb"))
         & _sizes(F.col("na"), F.col("nb"), percent)
-        & (most * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        & (_most(4) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
         & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("wa"))
     )
     met = scratch.write(left.join(right, near, "left_semi").select(F.col("wa").alias("w"), F.col("ca").alias("c")), "line-likely")
@@ -160,7 +163,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     told = classes.select("c", "at", "copies").join(linked, "c", "left").filter("copies > 1 or links > 0")
     told = scratch.write(told.select("c", "at", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links")), "line-told")
-    scratch.drop(classes, firsts, sets, met, member, linked)
+    scratch.drop(classes, named, sets, met, member, linked)
 
     gone = F.coalesce(F.col("late") | (at != F.col("at")), F.lit(False))
     judged = places.join(told, "c", "left").select("_id", "_h", "_no", gone.alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))

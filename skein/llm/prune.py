@@ -18,11 +18,20 @@ def _place(key: Column) -> tuple[Column, Column]:
     return F.shiftright(h, 6).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
 
 
-def may_join(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among ``keys``; null keys go."""
+def tester(keys: DataFrame):
+    """A function of a key column: whether it may be among ``keys`` (one column); null never is."""
     word, bit = _place(F.col(keys.columns[0]))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     found = {r["w"]: r["b"] for r in keys.select(word.alias("w"), one.alias("m")).groupBy("w").agg(F.bit_or("m").alias("b")).collect()}  # _WORDS rows at most
     table = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(_WORDS))), ",").cast("array<bigint>")
-    word, bit = _place(F.col(key))
-    return df.filter(F.col(key).isNotNull() & (F.call_function("bit_get", F.get(table, word), bit) == 1))
+
+    def test(key: Column) -> Column:
+        word, bit = _place(key)
+        return key.isNotNull() & (F.call_function("bit_get", F.get(table, word), bit) == 1)
+
+    return test
+
+
+def may_join(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``keys``; null keys go."""
+    return df.filter(tester(keys)(F.col(key)))

@@ -32,11 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write(df: DataFrame, name: str) -> DataFrame:
+def write(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns the table read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._skein_path = path
     return table
