@@ -9,7 +9,8 @@ in place of one per byte.  An anchor's slice is the text that all of its windows
 * different slices with one anchor string are sorted by suffixes in groups, and adjacent
   common prefixes tell which windows repeat;
 * an anchor string with very many different slices (a passage that a large share of all
-  documents quote) is counted window by window by 128-bit hashes, so that no task holds it all.
+  documents quote) is taken up again with longer and longer anchor strings, a few rows to a slice, until its groups are
+  small enough to be sorted; what differs only within the last few bytes is counted window by window.
 
 Windows of one anchor all contain it, hence what they cover is one stretch per slice.
 """
@@ -31,6 +32,8 @@ from skein.llm.text import own_columns
 
 WINDOW = 400
 GRAM = 128
+#: Anchor strings that large groups are dealt by anew.
+LONGER = (256, 384)
 #: Different slices of one anchor string that are still sorted in one task.
 GROUP = 256
 SORT_BYTES = 1 << 19
@@ -189,6 +192,55 @@ def _sorted_groups(window: int):
     return run
 
 
+def _anew(window: int, gram: int):
+    """Slices cut by their anchors once more, with longer anchor strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.flat(batch.column(3))
+            keys, starts, counts = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            for lo, _, part, at in K.blocks(data, offsets, BLOCK):
+                d, a, b, fp, sh = _anchors(part, at, window, gram)
+                raw = np.ascontiguousarray(part).tobytes()
+                cut = [raw[x:y] for x, y in zip((at[d] + a).tolist(), (at[d] + b + window).tolist(), strict=True)]
+                at0 = starts[lo + d]
+                cols = [fp.view(_SIGNED), sh.view(_SIGNED), counts[lo + d], keys[lo + d], (at0 + a).astype(np.int32), (at0 + b).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], ["fp", "sh", "c", "k", "a", "b", "bytes"])
+
+    return run
+
+
+_ANEW = "fp long, sh long, c long, k long, a int, b int, bytes binary"
+_SPAN = "k long, lo int, hi int"
+
+
+def _large_groups(hot: DataFrame, window: int, group: int) -> list[DataFrame]:
+    """Spans of the slices (k, a, c, bytes) of anchor strings with more than ``group`` different slices.
+
+    Slices that stand more than once (c > 1) go as a whole and need no span here; they count against others.
+    """
+    found = []
+    for gram in LONGER:
+        if gram >= window or hot.isEmpty():
+            continue
+        rows = scratch.write(hot.select("k", "a", "c", "bytes").mapInArrow(_anew(window, gram), _ANEW), "suffix-anew")
+        twice = scratch.write(rows.groupBy("fp").agg(F.sum("c").alias("n"), F.min("sh").alias("x"), F.max("sh").alias("y")).filter("n > 1").select("fp", (F.col("x") < F.col("y")).alias("mixed")), "suffix-anew-twice")
+        shared = scratch.write(rows.join(twice, "fp"), "suffix-anew-shared")
+        slices = scratch.write(shared.groupBy("fp", "sh").agg(F.sum("c").alias("c"), F.max("mixed").alias("mixed"), F.min(F.struct("k", "a", "b", "bytes")).alias("r")).select("fp", "sh", "c", "mixed", "r.*"), "suffix-anew-slices")
+        several = scratch.write(slices.filter("c > 1").select("fp", "sh"), "suffix-anew-several")
+        equal = shared.filter("c = 1").join(several, ["fp", "sh"], "left_semi").select("k", F.col("a").alias("lo"), (F.col("b") + window).cast("int").alias("hi"))
+        sizes = slices.filter("mixed").groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("fp", F.lit(True).alias("hot"))
+        marked = scratch.write(slices.filter("mixed").join(scratch.write(sizes, "suffix-anew-hot"), "fp", "left"), "suffix-anew-marked")
+        few = marked.filter("hot is null").repartition("fp").sortWithinPartitions("fp").mapInArrow(_sorted_groups(window), _SPAN)
+        found += [scratch.write(equal, "suffix-anew-equal"), scratch.write(few, "suffix-anew-few")]
+        hot = marked.filter("hot").select("k", "a", "c", "bytes")
+        scratch.drop(rows, twice, shared, slices, several)
+    rows = scratch.write(hot.select("k", "a", "c", "bytes").repartition("k", "a").mapInArrow(_window_hashes(window), "k long, a int, s int, c long, h1 long, h2 long"), "suffix-windows")
+    again = scratch.write(rows.groupBy("h1", "h2").agg(F.sum("c").alias("n")).filter("n > 1").select("h1", "h2"), "suffix-again")
+    many = rows.join(again, ["h1", "h2"], "left_semi").groupBy("k", "a").agg(F.min("s").alias("x"), F.max("s").alias("y"))
+    return [*found, many.select("k", (F.col("a") + F.col("x")).cast("int").alias("lo"), (F.col("a") + F.col("y") + window).cast("int").alias("hi"))]
+
+
 def _window_hashes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,16 +323,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = slices.join(sizes, "fp", "left").select("k", F.struct("fp", "sh", "c", F.coalesce("hot", F.lit(False)).alias("hot"), "a", "b").alias("x")).groupBy("k").agg(F.collect_list("x").alias("asked"))
     cut = scratch.write(held.join(scratch.write(asked, "suffix-asked"), "k").select("k", "raw", "asked").mapInArrow(_cut(window), _CUT), "suffix-cut")
 
-    few = cut.filter("not hot").repartition("fp").sortWithinPartitions("fp").mapInArrow(_sorted_groups(window), "k long, lo int, hi int")
-    hot = cut.filter("hot").select("k", "a", "c", "bytes").repartition("k", "a").mapInArrow(_window_hashes(window), "k long, a int, s int, c long, h1 long, h2 long")
-    hot = scratch.write(hot, "suffix-windows")
-    again = scratch.write(hot.groupBy("h1", "h2").agg(F.sum("c").alias("n")).filter("n > 1").select("h1", "h2"), "suffix-again")
-    many = hot.join(again, ["h1", "h2"], "left_semi").groupBy("k", "a").agg(F.min("s").alias("x"), F.max("s").alias("y")).select("k", (F.col("a") + F.col("x")).cast("int").alias("lo"), (F.col("a") + F.col("y") + window).cast("int").alias("hi"))
-
-    spans = whole.unionByName(few).unionByName(many).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    few = cut.filter("not hot").repartition("fp").sortWithinPartitions("fp").mapInArrow(_sorted_groups(window), _SPAN)
+    spans = whole.unionByName(few)
+    for more in _large_groups(cut.filter("hot"), window, group):
+        spans = spans.unionByName(more)
+    spans = spans.groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = scratch.write(spans, "suffix-spans")
     done = scratch.write(held.join(spans, "k").select("k", "raw", "spans").mapInArrow(_apply, "k long, n_removed long, n_spans long, kept string, spans array<struct<lo:int,hi:int>>"), "suffix-done")
-    scratch.drop(shared, slices, sizes, several, need, held, cut, hot, again, spans)
+    scratch.drop(shared, slices, sizes, several, need, held, cut, spans)
 
     plain = keyed.select("_id", "k", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.encode("_text", "UTF-8"), 256).alias("plain"))
     out = plain.join(done, "k", "left")
