@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skein.llm import kernels as K
-from skein.llm import scratch
 from skein.llm.text import own_columns
 
 IS_WORD = K.word_set([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -210,6 +209,37 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
         yield Matcher([(r["_item"] if r["_item"] is not None else "", r["_text"]) for r in own.toLocalIterator()], window)
 
 
+def _judge(docs: DataFrame, benchmark: DataFrame, item_col: str, window: int):
+    """A function of a batch's texts: words, hit stretches in words and in bytes, and items, of each text."""
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in _shards(benchmark, item_col, "text", window)]
+
+    def judge(column: pa.Array) -> tuple[np.ndarray, list, list, list]:
+        data, offsets = K.flat(column)
+        n_words, spans, places, items = [np.zeros(0, np.int64)], [], [], []
+        for _, _, part, at in K.blocks(data, offsets):
+            found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+            for m in shared:
+                counts, own, (starts, ends, first) = m.value.block(part, at)
+                for row, (hits, owners) in own.items():
+                    old = found.setdefault(row, ([], set()))
+                    old[0].extend(hits)
+                    old[1].update(owners)
+            n_words.append(counts)
+            for row in range(len(counts)):
+                hit = found.get(row)
+                merged = merge(hit[0]) if hit else []
+                spans.append([{"first": a - int(first[row]), "last": b - int(first[row])} for a, b in merged])
+                places.append([{"first": int(starts[a] - at[row]), "last": int(ends[b] - at[row])} for a, b in merged])
+                items.append(sorted(hit[1]) if hit else [])
+        return np.concatenate(n_words), spans, places, items
+
+    return judge
+
+
+def _n_hit(spans: list[list[dict]]) -> np.ndarray:
+    return np.array([sum(s["last"] - s["first"] + 1 for s in own) for own in spans], np.int64)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated.
 
@@ -224,30 +254,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """
     base = own_columns(docs, id_col, text_col).toDF("_id", "_text")
     kind = base.schema["_id"].dataType
-    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in _shards(benchmark, item_col, "text", window)]
+    judge = _judge(docs, benchmark, item_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            data, offsets = K.flat(batch.column(1))
-            n_words, spans, places, items = [], [], [], []
-            for _, _, part, at in K.blocks(data, offsets):
-                found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-                for m in shared:
-                    counts, own, (starts, ends, first) = m.value.block(part, at)
-                    for row, (hits, owners) in own.items():
-                        old = found.setdefault(row, ([], set()))
-                        old[0].extend(hits)
-                        old[1].update(owners)
-                n_words.append(counts)
-                for row in range(len(counts)):
-                    hit = found.get(row)
-                    merged = merge(hit[0]) if hit else []
-                    spans.append([{"first": a - int(first[row]), "last": b - int(first[row])} for a, b in merged])
-                    places.append([{"first": int(starts[a] - at[row]), "last": int(ends[b] - at[row])} for a, b in merged])
-                    items.append(sorted(hit[1]) if hit else [])
+            n_words, spans, places, items = judge(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(spans, span), pa.array(places, span), pa.array(items, pa.list_(pa.string()))],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(places, span), pa.array(items, pa.list_(pa.string()))],
                 ["_id", "n_words", "words", "bytes", "items"],
             )
 
@@ -261,32 +275,45 @@ def items_digest(items) -> object:
     return F.sha2(F.array_join(items, ","), 256)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents; all columns and all other documents stay as they are."""
-    bad = scratch.write(find_contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad")), "contaminated")
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
-
-
-def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cover: float = 0.05) -> DataFrame:
-    """``docs`` with hit spans cut out of the text; documents whose hit share exceeds ``max_cover`` go entirely."""
-    found = find_contamination(docs, benchmark, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias("_hit"), "spans", (F.col("n_hit") / F.col("n_words") > max_cover).alias("_over"))
-    found = scratch.write(found, "hit-spans")
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        out = []
-        for t, ss in zip(text, spans, strict=True):
-            raw, at, kept = (t or "").encode("utf-8"), 0, []
-            for s in ss if ss is not None else []:
-                kept.append(raw[at : s["first"]])
-                at = s["last"]
-            out.append((b"".join(kept) + raw[at:]).decode("utf-8"))
-        return __import__("pandas").Series(out)
-
-    joined = docs.join(found, docs[id_col] == F.col("_hit"), "left").filter("_over is null or not _over")
-    clean = joined.filter("_hit is null").select(docs.columns)
-    hit = joined.filter("_hit is not null").withColumn(text_col, cut(F.col(text_col), F.col("spans"))).select(docs.columns)
-    return clean.unionByName(hit)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13) -> DataFrame:
+    """``docs`` without contaminated documents; all columns and all other rows stay as they are.
+
+    Each row is judged where it stands, by its own text: null and repeated ids do not matter, null texts stay, an
+    empty table gives an empty result, and columns of any name may stand beside these.
+    """
+    judge, place = _judge(docs, benchmark, item_col, window), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, spans, _, _ = judge(batch.column(place))
+            hit = _n_hit(spans)
+            yield batch.filter(pa.array((hit == 0) | (20 * hit < n_words)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cover: float = 0.05, item_col: str = "item_id", window: int = 13) -> DataFrame:
+    """``docs`` with hit spans cut out of the text; documents whose hit share exceeds ``max_cover`` go entirely.
+
+    Each row is judged where it stands, as in :func:`drop_contaminated`; texts without hits and null texts stay as they are.
+    """
+    judge, place = _judge(docs, benchmark, item_col, window), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, spans, places, _ = judge(batch.column(place))
+            hit = _n_hit(spans)
+            texts = batch.column(place).to_pylist()
+            for row in np.flatnonzero(hit).tolist():
+                raw, at, kept = texts[row].encode("utf-8"), 0, []
+                for s in places[row]:
+                    kept.append(raw[at : s["first"]])
+                    at = s["last"]
+                texts[row] = (b"".join(kept) + raw[at:]).decode("utf-8")
+            columns = [pa.array(texts, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(hit <= max_cover * n_words))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest_of(items: list[str]) -> str:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from skein.llm import kernels as K
 from skein.llm import prune, scratch
 from skein.llm.components import components
+from skein.llm.settle import settle
 from skein.llm.text import own_columns
 
 IS_WORD = K.word_set([(0x20, 0x20), (0x09, 0x0D)])
@@ -146,7 +147,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k2 = np.array([K.mix(s ^ np.uint64(K.BASE)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             n = pa.array([len(s) for s in sets], pa.int64())
             sigs = pa.array([x.tobytes() for x in sig], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, pa.array(k1), pa.array(k2), sigs], ["_id", "n", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, pa.array(k1), pa.array(k2), sigs, batch.column(2).slice(lo, hi - lo)], ["_id", "n", "k1", "k2", "sig", "row_key"])
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +303,13 @@ def _between(reps: DataFrame, comp: DataFrame, family: DataFrame, texts: DataFra
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_key: bool = False) -> DataFrame:
     """One row per input row: ``id_col`` (long), n_shingles, component_id, kept.
 
     Words are separated by ASCII white space after lower-casing A-Z; a document's set holds
     its distinct five-word shingles, or its whole word sequence if shorter.  Documents with
     Jaccard similarity of 0.75 or more are linked; component_id is the smallest id reachable,
-    and kept marks the document that has it.
+    and kept marks the document that has it.  With ``row_key`` a hash of each row's text is returned too.
 
     Null texts and texts without words have empty sets and are linked with nothing.  Rows with
     a null id have component_id null and are kept; they link nothing.  Repeated rows are in one
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A pair of exactly 0.75 is missed by all bands with a chance of 5 in a million, more similar ones far less.
     """
     base = own_columns(docs, id_col, text_col).toDF("_id", "_text").select(F.col("_id").cast("long").alias("_id"), "_text")
-    sigs = scratch.write(base.mapInArrow(_sign, "_id long, n long, k1 long, k2 long, sig binary"), "near-registers")
+    sigs = scratch.write(base.withColumn("row_key", F.xxhash64("_text")).mapInArrow(_sign, "_id long, n long, k1 long, k2 long, sig binary, row_key long"), "near-registers")
     reps = scratch.write(
         sigs.filter("n > 0 and _id is not null").groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies")),
         "near-classes",
@@ -351,13 +352,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = components(links)
 
     copies = reps.filter("copies > 1").select("k1", "k2", "n", "rep")
-    out = sigs.select("_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(copies.withColumnRenamed("n", "n_shingles"), ["k1", "k2", "n_shingles"], "left")
+    out = sigs.select("_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2", "row_key").join(copies.withColumnRenamed("n", "n_shingles"), ["k1", "k2", "n_shingles"], "left")
     out = out.withColumn("rep", F.when(F.col("_id").isNotNull(), F.coalesce("rep", "_id"))).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep")
-    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"), *["row_key"] * row_key)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component; all columns stay."""
-    gone = scratch.write(near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component; all columns stay.
+
+    Rows that repeat id and text count once: one of them stays where the document does.  Different texts under one id
+    are one document to :func:`near_duplicates` and stay or go together.  Null ids and documents without words stay.
+    An empty table gives an empty result.  Columns of any name may stand beside these.
+    """
+    found = near_duplicates(docs, id_col, text_col, row_key=True)
+    marks = found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "row_key", "kept")
+    return settle(docs, id_col, F.xxhash64(docs[f"`{text_col}`"]), marks)

@@ -30,7 +30,7 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark_exact_duplicates(_table(spark, sf_dir, "documents"), digest=True)
+    return exact_dedup.mark_exact_duplicates(_table(spark, sf_dir, "documents"), digest=True).drop("row_key")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
