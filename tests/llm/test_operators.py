@@ -294,19 +294,29 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, flat).filter("predicted = 1").count() == 0
 
 
+def plain_score(m, terms):
+    """The machine's formula, pair by pair."""
+    s = sorted({int(m.slots[t]) for t in terms if m.slots[t] >= 0})
+    z = m.bias + sum(m.linear[i] for i in s) + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(s) for j in s[k + 1 :])
+    return 1 / (1 + np.exp(-z))
+
+
 def test_pairs_count_where_single_terms_do_not():
+    """Both terms together, one alone, none: with an "and", and with a label that neither term tells anything about."""
     rng = np.random.default_rng(1)
-    rows, y = [], []
-    for _ in range(800):
-        a, b = rng.integers(0, 2, 2)
-        rows.append(np.array([10] * a + [20] * b + [30 + int(rng.integers(50))], np.int64))
-        y.append(int(a and b))
-    m = toxicity.fit(rows, np.array(y))
-    if (m.slots[[10, 20]] >= 0).all():
-        s = [m.score(np.zeros(len(t), np.int64), np.array(t), 1)[0] for t in ([10], [20], [10, 20])]
-        assert s[2] > 0.7 > max(s[:2])
-    else:
-        pytest.fail("the informative terms were not chosen")
+    for rule in (lambda a, b: a & b, lambda a, b: 1 - (a ^ b)):
+        rows, y = [], []
+        for _ in range(4000):
+            a, b = rng.integers(0, 2, 2)
+            rows.append(np.array([10] * a + [20] * b + [int(x) for x in np.unique(rng.integers(30, 130, 12))], np.int64))
+            y.append(int(rule(a, b)))
+        half = len(rows) // 2
+        m = toxicity.fit(rows[:half], np.array(y[:half]))
+        assert (m.slots[[10, 20]] >= 0).all()
+        score = [m.score(np.zeros(len(r), np.int64), r, 1)[0] for r in rows[half:]]
+        assert np.allclose(score, [plain_score(m, r) for r in rows[half:]], atol=1e-6)
+        right = np.mean([(s >= toxicity.REJECT) == bool(l) for s, l in zip(score, y[half:], strict=True)])
+        assert right > 0.98
 
 
 def test_repeated_lines(spark):
