@@ -54,13 +54,61 @@ def within_budget(df: DataFrame, by: str, weight: str, cost: str, budget: float,
     return df.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= budget)
 
 
-def expand_configurations(df: DataFrame, column: str, ones: int) -> DataFrame:
-    """Bit strings with ``ones`` bits set, and those one swap of neighbouring bits away, once each."""
-    bits = F.split(column, "")
-    places = F.sequence(F.lit(1), F.length(column) - 1)
-    swapped = F.transform(places, lambda i: F.concat(F.substring(column, F.lit(1), i - 1), F.get(bits, i), F.get(bits, i - 1), F.substring(column, i + 2, F.length(column))))
-    kept = df.filter(F.length(F.replace(F.col(column), F.lit("0"), F.lit(""))) == ones)
-    return kept.select(F.explode(F.array_union(F.array(column), swapped)).alias(column)).distinct()
+def expand_configurations(df: DataFrame, column: str, reference: str) -> DataFrame:
+    """Configurations with the spins of singly filled places dealt out in every way, once each.
+
+    Bit strings hold two spins for each place, in turn.  Kept are those with as many ones of either spin
+    as ``reference``; beginnings that already have too many are not followed.
+    """
+    up, down = reference[0::2].count("1"), reference[1::2].count("1")
+
+    def ones(bits: Column, spin: int) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(0), F.length(bits) - 1), lambda i: (i % 2 == spin) & (F.substring(bits, i + 1, F.lit(1)) == "1")))
+
+    def step(begun: Column, i: Column) -> Column:
+        pair = F.substring(column, 2 * i + 1, F.lit(2))
+        both = F.concat(F.transform(begun, lambda x: F.concat(x, F.lit("10"))), F.transform(begun, lambda x: F.concat(x, F.lit("01"))))
+        grown = F.when(pair.isin("10", "01"), both).otherwise(F.transform(begun, lambda x: F.concat(x, pair)))
+        return F.filter(grown, lambda x: (ones(x, 0) <= up) & (ones(x, 1) <= down))
+
+    places = F.sequence(F.lit(0), (F.length(column) / 2).cast("int") - 1)
+    dealt = F.aggregate(places, F.array(F.lit("")), step)
+    return df.filter(F.length(column) >= 2).select(column).distinct().select(F.explode(F.filter(dealt, lambda x: (ones(x, 0) == up) & (ones(x, 1) == down))).alias(column)).distinct()
+
+
+def matrix_element(left: Column, right: Column, one_body: Column, two_body: Column, places: int, constant: float) -> Column:
+    """Element between two determinants, by the rule for none, one or two places that differ; 0 for more, or for unequal numbers of ones.
+
+    ``left`` and ``right`` are array<int> of 0 and 1, two spins for each place in turn; the integrals are
+    flat arrays over ``places``, of rank two and four.
+    """
+    half = lambda x: F.shiftright(x, 1)
+    like = lambda x, y: x % 2 == y % 2
+    every = F.sequence(F.lit(0), F.lit(2 * places - 1))
+
+    def one(p: Column, q: Column) -> Column:
+        return F.when(like(p, q), F.get(one_body, half(p) * places + half(q))).otherwise(0.0)
+
+    def two(p: Column, q: Column, r: Column, t: Column) -> Column:
+        return F.when(like(p, q) & like(r, t), F.get(two_body, ((half(p) * places + half(q)) * places + half(r)) * places + half(t))).otherwise(0.0)
+
+    def total(items: Column, of) -> Column:
+        return F.aggregate(items, F.lit(0.0), lambda acc, i: acc + of(i))
+
+    def after(bits: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(bits, i + 2, F.lit(2 * places)), F.lit(0), lambda acc, x: acc + x)
+
+    gone = F.filter(every, lambda i: F.get(right, i) < F.get(left, i))
+    come = F.filter(every, lambda i: F.get(right, i) > F.get(left, i))
+    filled = F.filter(every, lambda i: F.get(left, i) == 1)
+    turns = F.aggregate(gone, F.lit(0), lambda acc, i: acc + after(left, i)) + F.aggregate(come, F.lit(0), lambda acc, i: acc + after(right, i))
+    phase = F.when(turns % 2 == 0, 1.0).otherwise(-1.0)
+    g0, g1, c0, c1 = (F.get(x, F.lit(i)) for x in (gone, come) for i in (0, 1))
+    double = two(g0, c0, g1, c1) - two(g0, c1, g1, c0)
+    single = one(g0, c0) + total(F.filter(filled, lambda i: i != g0), lambda i: two(g0, c0, i, i) - two(g0, i, i, c0))
+    same = total(filled, lambda i: one(i, i) + total(F.filter(filled, lambda j: j < i), lambda j: two(i, i, j, j) - two(i, j, j, i))) + constant
+    moved = F.size(gone)
+    return F.when((F.size(come) != moved) | (moved > 2), 0.0).when(moved == 2, double * phase).when(moved == 1, single * phase).otherwise(same)
 
 
 def shots_to_dict(df: DataFrame, by: Sequence[str], register: str, shot: str, bit: str, value: str) -> DataFrame:
@@ -111,30 +159,49 @@ def at_point(p: Column) -> Column:
     return F.element_at(p["data"], p["at"].cast("int") + 1)
 
 
-def split_space(df: DataFrame, by: Sequence[str], order: str, frozen: int, active: int) -> DataFrame:
-    """Adds ``space``: the first ``frozen`` rows of a group are core, the next ``active`` ones active, all others virtual."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return df.withColumn("space", F.when(place < frozen, "core").when(place < frozen + active, "active").otherwise("virtual"))
+def split_space(df: DataFrame, by: Sequence[str], order: str, occupation: str, active: int, electrons: int) -> DataFrame:
+    """Adds ``space``: core, active or virtual, by place in each group.
+
+    Half of the occupation that ``electrons`` active ones leave over fills the core; ``active`` places
+    follow.  A group that is too small for both raises.
+    """
+    whole = Window.partitionBy(*by)
+    core = F.floor((F.sum(occupation).over(whole) - electrons) / 2)
+    place = F.row_number().over(whole.orderBy(order)) - 1
+    fits = (core + active <= F.count("*").over(whole)) | F.raise_error(F.lit("active space is larger than the group")).cast("boolean")
+    return df.withColumn("space", F.when(fits, F.when(place < core, "core").when(place < core + active, "active").otherwise("virtual")))
 
 
-def configurations(spark, places: int, ones: int) -> DataFrame:
-    """All bit strings of a length with a number of ones; the work is 2**places rows, spread over the cluster."""
-    return spark.range(1 << places).filter(F.bit_count("id") == ones).select(F.lpad(F.bin("id"), places, "0").alias("bits"))
+def configurations(spark, electrons: int, places: int, multiplicity: int = 1, core: int = 0, virtual: int = 0) -> DataFrame:
+    """Bit strings of two spins in turn, each spin with (electrons - multiplicity + 1) // 2 ones in every way; ``core`` full places before, ``virtual`` empty ones behind.
+
+    A row for each string of one spin is spread over the cluster and gives the rows of the other.
+    """
+    ones = (electrons - multiplicity + 1) // 2
+    spin = spark.range(1 << places).filter(F.bit_count("id") == ones).select(F.col("id").alias("a"))
+    both = spin.select("a", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << places) - 1)), lambda x: F.bit_count(x) == ones)).alias("b"))
+    bit = lambda x, i: F.get(F.split(F.lpad(F.bin(x), places, "0"), ""), i)
+    inner = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.concat(bit("a", i), bit("b", i))), "")
+    return both.select(F.concat(F.lit("11" * core), inner, F.lit("00" * virtual)).alias("bits"))
 
 
-def greedy(pool: DataFrame, key: str, score: str, cost: str, budget: float, max_rounds: int = 100) -> list[tuple]:
-    """Takes the row with the highest score per cost that still fits, again and again: (key, left after it).
+def greedy(pool: DataFrame, key: str, score: str, cost: str, budget: float, step: int = 1000) -> list[tuple]:
+    """Takes the row with the highest score per cost that still fits, again and again, to the end: (key, left after it).
 
-    One row comes to the driver in each round.
+    What no longer fits never will, so rows are looked at once, in order of score per cost, then of key.  Only the
+    next ``step`` rows that fit come to the driver at a time.
     """
-    left, taken = budget, []
-    for _ in range(max_rounds):
-        fits = pool.filter(F.col(cost) <= left)
-        if taken:
-            fits = fits.filter(~F.col(key).isin([k for k, _ in taken]))
-        best = fits.agg(F.max_by(F.struct(key, cost), F.struct(F.col(score) / F.col(cost), -F.col(key))).alias("b")).first()["b"]
-        if best is None:
-            break
-        left -= best[cost]
-        taken.append((best[key], left))
-    return taken
+    left, taken, last = budget, [], None
+    rows = pool.select(F.col(key).alias("k"), F.col(cost).alias("c"), (F.col(score) / F.col(cost)).alias("r")).filter("k is not null and r is not null")
+    while True:
+        fits = rows.filter(F.col("c") <= F.lit(left))
+        if last is not None:
+            fits = fits.filter((F.col("r") < F.lit(last[0])) | ((F.col("r") == F.lit(last[0])) & (F.col("k") > F.lit(last[1]))))
+        ahead = fits.orderBy(F.col("r").desc(), "k").limit(step).collect()
+        for x in ahead:
+            if x["c"] <= left:
+                left -= x["c"]
+                taken.append((x["k"], left))
+        if len(ahead) < step:
+            return taken
+        last = (ahead[-1]["r"], ahead[-1]["k"])

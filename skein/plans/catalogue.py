@@ -399,11 +399,11 @@ def counts_merge(spark, sf_dir):
     return R.merge_counts(_bits(spark, sf_dir), "bits", "n")
 
 
-@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
-       SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n FROM c UNION ALL SELECT CAST(n_nationkey AS BIGINT), 0 FROM nation WHERE n_nationkey NOT IN (SELECT k FROM c)""")
+@query("""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
+       SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n FROM c UNION ALL SELECT CAST(c_custkey AS BIGINT), 0 FROM customer WHERE c_custkey NOT IN (SELECT k FROM c)""")
 def counts_union_missing(spark, sf_dir):
-    have = _t(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(_l("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    return R.add_missing(have, _t(spark, sf_dir, "nation").select(_l("n_nationkey").alias("k"), F.lit(0).cast("long").alias("n")), "k")
+    have = _t(spark, sf_dir, "orders").groupBy(_l("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return R.add_missing(have, _t(spark, sf_dir, "customer").select(_l("c_custkey").alias("k"), F.lit(0).cast("long").alias("n")), "k")
 
 
 @query("""WITH p AS (SELECT a.s_nationkey AS nation, a.s_suppkey AS i, b.s_suppkey AS j, CAST(trunc(a.s_acctbal) AS BIGINT) * CAST(trunc(b.s_acctbal) AS BIGINT) AS element FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey <= a.s_suppkey)
@@ -425,10 +425,45 @@ def running_budget(spark, sf_dir):
     return R.within_budget(rows, "l_orderkey", "l_extendedprice", "l_quantity", 60, ["l_partkey", "l_suppkey", "l_linenumber"]).drop("l_quantity")
 
 
-@query(f"""WITH b AS (SELECT DISTINCT {_BITS} AS bits FROM lineitem), k AS (SELECT bits FROM b WHERE length(replace(bits, '0', '')) = 3),
-       e AS (SELECT bits FROM k UNION ALL SELECT substr(bits, 1, i - 1) || substr(bits, i + 1, 1) || substr(bits, i, 1) || substr(bits, i + 2) FROM k, range(1, 6) t(i)) SELECT DISTINCT bits FROM e""")
+_OCCUPIED = "list_transform(range(3), lambda i: CAST(substr({0}, 2 * i + 1, 1) AS INT) + CAST(substr({0}, 2 * i + 2, 1) AS INT))"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT {_BITS} AS bits FROM lineitem), t AS (SELECT lpad(bin(CAST(i AS BIGINT)), 6, '0') AS bits FROM range(64) t(i))
+       SELECT bits FROM t WHERE substr(bits, 1, 1)::INT + substr(bits, 3, 1)::INT + substr(bits, 5, 1)::INT = 2 AND substr(bits, 2, 1)::INT + substr(bits, 4, 1)::INT + substr(bits, 6, 1)::INT = 1
+       AND {_OCCUPIED.format("bits")} IN (SELECT {_OCCUPIED.format("bits")} FROM b)""")
 def config_expand(spark, sf_dir):
-    return R.expand_configurations(_bits(spark, sf_dir).select("bits"), "bits", 3)
+    return R.expand_configurations(_bits(spark, sf_dir).select("bits"), "bits", "111000")
+
+
+def _one(p: str, q: str) -> str:
+    return f"(CASE WHEN {p} % 2 = {q} % 2 THEN 1.0::DOUBLE / (1 + abs({p} // 2 - {q} // 2)) ELSE 0 END)"
+
+
+def _two(p: str, q: str, r: str, t: str) -> str:
+    return f"(CASE WHEN {p} % 2 = {q} % 2 AND {r} % 2 = {t} % 2 THEN 1.0::DOUBLE / (2 + {p} // 2 + 2 * ({q} // 2) + 3 * ({r} // 2) + 5 * ({t} // 2)) ELSE 0 END)"
+
+
+def _after(bits: str, places: str) -> str:
+    return f"coalesce(list_sum(list_transform({places}, lambda i: list_sum({bits}[i + 2 :]))), 0)"
+
+
+@query(f"""WITH s AS (SELECT s_nationkey AS nation, s_suppkey AS k, list_transform(range(8), lambda i: (s_suppkey >> (7 - i)) & 1) AS v FROM supplier),
+       p AS (SELECT a.nation, a.k AS i, b.k AS j, a.v AS x, b.v AS y, list_filter(range(8), lambda i: b.v[i + 1] < a.v[i + 1]) AS g, list_filter(range(8), lambda i: b.v[i + 1] > a.v[i + 1]) AS c,
+                    list_filter(range(8), lambda i: a.v[i + 1] = 1) AS f FROM s a JOIN s b ON a.nation = b.nation AND b.k <= a.k),
+       q AS (SELECT *, CASE WHEN ({_after("x", "g")} + {_after("y", "c")}) % 2 = 0 THEN 1 ELSE -1 END AS phase FROM p WHERE len(g) = len(c) AND len(g) <= 2),
+       e AS (SELECT nation, i, j, CASE len(g) WHEN 2 THEN phase * ({_two("g[1]", "c[1]", "g[2]", "c[2]")} - {_two("g[1]", "c[2]", "g[2]", "c[1]")})
+             WHEN 1 THEN phase * ({_one("g[1]", "c[1]")} + coalesce(list_sum(list_transform(list_filter(f, lambda m: m <> g[1]), lambda m: {_two("g[1]", "c[1]", "m", "m")} - {_two("g[1]", "m", "m", "c[1]")})), 0))
+             ELSE coalesce(list_sum(list_transform(f, lambda m: {_one("m", "m")} + coalesce(list_sum(list_transform(list_filter(f, lambda n: n < m), lambda n: {_two("m", "m", "n", "n")} - {_two("m", "n", "n", "m")})), 0))), 0) + 0.5 END AS element FROM q)
+       SELECT nation, i, j, round(element, 9) + 0.0 AS element FROM e WHERE abs(element) > 1e-10 UNION ALL SELECT nation, j, i, round(element, 9) + 0.0 FROM e WHERE i <> j AND abs(element) > 1e-10""")
+def matrix_elements(spark, sf_dir):
+    n = 4
+    one = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: 1.0 / (1 + F.abs(F.floor(k / n) - k % n)))
+    place = lambda k, d: F.floor(k / n**d) % n
+    two = F.transform(F.sequence(F.lit(0), F.lit(n**4 - 1)), lambda k: 1.0 / (2 + place(k, 3) + 2 * place(k, 2) + 3 * place(k, 1) + 5 * place(k, 0)))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: F.call_function("shiftright", F.col("s_suppkey").cast("int"), 7 - i).bitwiseAND(F.lit(1)))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", bits.alias("v"))
+    out = R.lower_triangle(s, "s_suppkey", "v", "nation", lambda a, b: R.matrix_element(a, b, one, two, n, 0.5), F.lit(1e-10))
+    return out.withColumn("element", F.round("element", 9) + 0.0)
 
 
 def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,35 +497,38 @@ def ndarray_linspace(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.posexplode(R.linspace(F.col("p_size").cast("double"), F.col("p_retailprice"), 5)).alias("pos", "value")).select("p_partkey", _l("pos").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query("SELECT vec_id, CAST(k AS BIGINT) AS pos, CAST(embedding[CAST((k % 2) * 4 + k // 2 AS INTEGER) + 1] AS DOUBLE) AS value FROM embeddings, range(8) t(k)")
+@query("SELECT vec_id, CAST(k AS BIGINT) AS pos, CAST(embedding[CAST((k % 8) * 8 + k // 8 AS INTEGER) + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(k)")
 def ndarray_transpose(spark, sf_dir):
-    first = F.slice("embedding", 1, 8)
-    t = R.transpose(F.array(F.lit(2), F.lit(4)), first)
+    t = R.transpose(F.array(F.lit(8), F.lit(8)), F.col("embedding"))
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(t).alias("pos", "value")).select("vec_id", _l("pos").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
-@query("""SELECT s_nationkey, s_suppkey, CASE WHEN n < 1 THEN 'core' WHEN n < 3 THEN 'active' ELSE 'virtual' END AS space
-       FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n FROM supplier)""")
+@query("""SELECT s_nationkey, s_suppkey, CASE WHEN n < core THEN 'core' WHEN n < core + 2 THEN 'active' ELSE 'virtual' END AS space
+       FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, floor((sum(s_suppkey % 2) OVER (PARTITION BY s_nationkey) - 2) / 2) AS core FROM supplier)""")
 def active_space(spark, sf_dir):
-    return R.split_space(_t(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], "s_suppkey", 1, 2)
+    s = _t(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 2).alias("filled"))
+    return R.split_space(s, ["s_nationkey"], "s_suppkey", "filled", 2, 2).drop("filled")
 
 
-@query("SELECT bits FROM (SELECT lpad(bin(CAST(i AS BIGINT)), 8, '0') AS bits FROM range(256) t(i)) WHERE length(replace(bits, '0', '')) = 3")
+@query("""WITH h AS (SELECT lpad(bin(CAST(i AS BIGINT)), 5, '0') AS b FROM range(32) t(i) WHERE length(replace(lpad(bin(CAST(i AS BIGINT)), 5, '0'), '0', '')) = 2)
+       SELECT '11' || x.b[1] || y.b[1] || x.b[2] || y.b[2] || x.b[3] || y.b[3] || x.b[4] || y.b[4] || x.b[5] || y.b[5] || '0000' AS bits FROM h x, h y""")
 def configurations(spark, sf_dir):
-    return R.configurations(spark, 8, 3)
+    return R.configurations(spark, 4, 5, core=1, virtual=2)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS c, row_number() OVER (ORDER BY p_retailprice / p_size DESC, p_partkey) AS n FROM part),
+       g(n, k, left_over) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(200 AS BIGINT) UNION ALL
+            SELECT x.n, x.k, x.l FROM (SELECT p.n, p.k, g.left_over - p.c AS l, row_number() OVER (ORDER BY p.n) AS r FROM g JOIN p ON p.n > g.n AND p.c <= g.left_over) x WHERE x.r = 1)
+       SELECT k, left_over FROM g WHERE n > 0""")
 def greedy_pool(spark, sf_dir):
     pool = _t(spark, sf_dir, "part").select(_l("p_partkey").alias("k"), F.col("p_retailprice").alias("score"), _l("p_size").alias("c"))
-    return spark.createDataFrame(R.greedy(pool, "k", "score", "c", 20, 5), "k long, left_over long")
+    return spark.createDataFrame(R.greedy(pool, "k", "score", "c", 200), "k long, left_over long")
 
 
-@query("SELECT vec_id, CAST(2 AS BIGINT) AS rows, CAST(4 AS BIGINT) AS cols, CAST(embedding[vec_id % 8 + 1] AS DOUBLE) AS point FROM embeddings")
+@query("SELECT vec_id, CAST(8 AS BIGINT) AS rows, CAST(8 AS BIGINT) AS cols, CAST(embedding[vec_id % 64 + 1] AS DOUBLE) AS point FROM embeddings")
 def ndarray_reshape_point(spark, sf_dir):
-    first = F.slice("embedding", 1, 8)
-    shaped = R.reshape(F.array(F.lit(8)), first, [2, 4])
-    point = R.at_point(R.pointed(first, F.col("vec_id") % 8))
+    shaped = R.reshape(F.array(F.lit(64)), F.col("embedding"), [8, 8])
+    point = R.at_point(R.pointed(F.col("embedding"), F.col("vec_id") % 64))
     return _t(spark, sf_dir, "embeddings").select("vec_id", _l_of(shaped["shape"], 0).alias("rows"), _l_of(shaped["shape"], 1).alias("cols"), point.cast("double").alias("point"))
 
 

@@ -10,9 +10,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set and all runs on one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skein-"))
     return conf.rstrip("/")
 

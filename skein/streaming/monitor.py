@@ -9,12 +9,12 @@ from skein.operators.run_state import status
 NODE_SCHEMA = "run string, location string, kind string, started timestamp, finished timestamp, error string"
 
 
-def watch(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
-    """Latest row of each node, updated as files arrive in ``folder``.
+def watch(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest state of each node, updated as files arrive in ``folder``.
 
-    State is one row per node; rows that come later than ``late`` behind the newest start are
-    dropped together with their state.
+    Each update adds to what is known of a node, in any order, however long it ran: state is one row for each
+    node of the runs watched, and none is given up while the watch lasts.
     """
-    rows = spark.readStream.schema(NODE_SCHEMA).parquet(folder).withWatermark("started", late)
-    newest = rows.groupBy("run", "location", "started").agg(F.max("finished").alias("finished"), F.max("error").alias("error"), F.first("kind").alias("kind"))
+    rows = spark.readStream.schema(NODE_SCHEMA).parquet(folder)
+    newest = rows.groupBy("run", "location").agg(F.max("started").alias("started"), F.max("finished").alias("finished"), F.max("error").alias("error"), F.max("kind").alias("kind"))
     return newest.withColumn("status", status())

@@ -124,8 +124,13 @@ def test_arrays_and_spaces(spark):
     assert shaped.a["shape"] == [2, 3] and shaped.t == [0, 3, 1, 4, 2, 5] and shaped.p == 4
     with pytest.raises(Exception, match="reshape"):
         one.select(R.reshape(F.array(F.lit(6)), data, [4])).collect()
-    assert [r.space for r in R.split_space(spark.range(5).withColumn("g", F.lit(1)), ["g"], "id", 1, 2).orderBy("id").collect()] == ["core", "active", "active", "virtual", "virtual"]
-    assert R.configurations(spark, 5, 2).count() == 10
+    filled = spark.range(5).withColumn("g", F.lit(1)).withColumn("n", F.when(F.col("id") < 2, 2).otherwise(0))
+    assert [r.space for r in R.split_space(filled, ["g"], "id", "n", 2, 2).orderBy("id").collect()] == ["core", "active", "active", "virtual", "virtual"]
+    with pytest.raises(Exception, match="larger"):
+        R.split_space(filled, ["g"], "id", "n", 5, 2).collect()
+    found = [r.bits for r in R.configurations(spark, 4, 4, core=1, virtual=1).collect()]
+    assert len(set(found)) == len(found) == 36
+    assert all(b[:2] == "11" and b[-2:] == "00" and b[2:-2][0::2].count("1") == b[2:-2][1::2].count("1") == 2 for b in found)
     pool = spark.createDataFrame([(1, 10.0, 5), (2, 9.0, 3), (3, 1.0, 1)], "k long, score double, c long")
     assert R.greedy(pool, "k", "score", "c", 6) == [(2, 3), (3, 2)]
 
@@ -141,3 +146,87 @@ def test_eval_view(spark):
     assert got[0] == "Finished" and got[3] == "Error" and got[1] == "Not started"
     assert edges.count() == len(list(G.pick().edges()))
     assert [r.error for r in S.messages(nodes).collect()] == ["bad"]
+
+
+SPINS = ("101010", "101100", "011100", "111111", "000000", "110110")
+
+
+def test_spins_are_dealt_out(spark):
+    df = spark.createDataFrame([(b,) for b in SPINS], "bits string")
+    got = {r.bits for r in R.expand_configurations(df, "bits", "111000").collect()}
+    want = set()
+    for bits in SPINS:
+        begun = [""]
+        for i in range(3):
+            pair = bits[2 * i : 2 * i + 2]
+            begun = [b + x for b in begun for x in (("10", "01") if pair in ("10", "01") else (pair,))]
+        want |= {b for b in begun if b[0::2].count("1") == 2 and b[1::2].count("1") == 1}
+    assert got == want and len(got) == 4
+
+
+def test_matrix_elements_by_operators(spark):
+    """Against the operators themselves: strings of creations and annihilations with their signs."""
+    import itertools
+    import random
+
+    n, rng = 3, random.Random(5)
+    m = 2 * n
+    h1 = [[rng.random() for _ in range(n)] for _ in range(n)]
+    h1 = [[h1[min(i, j)][max(i, j)] for j in range(n)] for i in range(n)]
+    h2 = {}
+    for p, q, r, s in itertools.product(range(n), repeat=4):
+        key = min((a, b) if (a, b) <= (c, d) else (c, d) for a, b in [tuple(sorted((p, q)))] for c, d in [tuple(sorted((r, s)))])
+        other = tuple(sorted((r, s))) if key == tuple(sorted((p, q))) else tuple(sorted((p, q)))
+        h2[p, q, r, s] = random.Random(repr((key, other))).random()
+
+    def act(state, steps):
+        """Result and sign of (place, create) steps, the last first."""
+        state, sign = list(state), 1
+        for place, create in reversed(steps):
+            if state[place] == create:
+                return None, 0
+            sign *= (-1) ** sum(state[:place])
+            state[place] = int(create)
+        return tuple(state), sign
+
+    def element(x, y):
+        z = 0.0
+        for p, q in itertools.product(range(m), repeat=2):
+            if p % 2 == q % 2:
+                got, sign = act(y, [(p, True), (q, False)])
+                z += sign * h1[p // 2][q // 2] if got == x else 0
+        for p, q, r, s in itertools.product(range(m), repeat=4):
+            if p % 2 == q % 2 and r % 2 == s % 2:
+                got, sign = act(y, [(p, True), (r, True), (s, False), (q, False)])
+                z += sign * h2[p // 2, q // 2, r // 2, s // 2] / 2 if got == x else 0
+        return z + (0.25 if x == y else 0)
+
+    states = [x for x in itertools.product((0, 1), repeat=m) if sum(x) in (2, 3)]
+    pairs = [(list(x), list(y)) for x in states for y in states]
+    one = F.array(*[F.lit(v) for row in h1 for v in row])
+    two = F.array(*[F.lit(h2[k]) for k in itertools.product(range(n), repeat=4)])
+    df = spark.createDataFrame(pairs, "x array<int>, y array<int>")
+    got = df.select("x", "y", R.matrix_element(F.col("x"), F.col("y"), one, two, n, 0.25).alias("e")).collect()
+    for r in got:
+        want = element(tuple(r.x), tuple(r.y)) if sum(r.x) == sum(r.y) else 0.0
+        assert abs(r.e - want) < 1e-9, (r, want)
+
+
+def test_greedy_goes_on_to_the_end(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.randint(1, 50), rng.randint(1, 9)) for k in range(300)]
+    pool = spark.createDataFrame(rows, "k long, score long, c long")
+    left, want = 700, []
+    for k, s, c in sorted(rows, key=lambda r: (-r[1] / r[2], r[0])):
+        if c <= left:
+            left -= c
+            want.append((k, left))
+    assert len(want) > 100 and R.greedy(pool, "k", "score", "c", 700, step=40) == want
+
+
+def test_only_names_of_python_take_a_prefix():
+    from skein.functions import plain_name
+
+    assert plain_name("x_abs") == "abs" and plain_name("builtins.add") == "add" and plain_name("my_add") == "my_add"

@@ -69,3 +69,22 @@ def test_watching_a_run(spark, tmp_path):
         assert {r.location: r.status for r in spark.table("watched").collect()}["-.N1.L0"] == "Finished"
     finally:
         q.stop()
+
+
+def test_a_node_that_ends_hours_later(spark, tmp_path):
+    """Updates come file by file, newer nodes in between; nothing known of a node is given up."""
+    from skein.streaming.monitor import NODE_SCHEMA, watch
+
+    folder = f"{tmp_path}/long"
+    at = lambda h: __import__("datetime").datetime(2024, 1, 1, h)
+    updates = [("r", "-.N1", "Call", at(1), None, None), ("r", "-.N2", "Call", at(9), at(9), None), ("r", "-.N1", "Call", at(1), at(3), None)]
+    spark.createDataFrame(updates[:1], NODE_SCHEMA).write.parquet(folder)
+    q = watch(spark, folder).writeStream.outputMode("complete").format("memory").queryName("long_watched").start()
+    try:
+        for k in range(3):
+            if k:
+                spark.createDataFrame(updates[k : k + 1], NODE_SCHEMA).write.mode("append").parquet(folder)
+            q.processAllAvailable()
+        assert {r.location: (r.status, r.finished) for r in spark.table("long_watched").collect()} == {"-.N1": ("Finished", at(3)), "-.N2": ("Finished", at(9))}
+    finally:
+        q.stop()
