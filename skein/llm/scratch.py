@@ -18,9 +18,11 @@ _LIVE: dict[str, weakref.ref] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="skein-"))
     return base.rstrip("/")
