@@ -24,5 +24,7 @@ def settle(docs: DataFrame, id_col: str, key: Column, marks: DataFrame) -> DataF
     hit = hit.join(named, hit[f"`{id_col}`"].eqNullSafe(F.col(one)) & (hit[free_name(docs, "own")] == F.col(two)), "left")
     columns = [f"`{c}`" for c in docs.columns]
     single = hit.filter(F.col(kept).isNull() | (F.col(kept) & ~F.col(many))).select(columns)
-    again = hit.filter(F.col(kept) & F.col(many)).dropDuplicates([one, two]).select(columns)
-    return docs.filter(~asked).unionByName(single).unionByName(again)
+    out = docs.filter(~asked).unionByName(single)
+    if fate.filter("kept and many").isEmpty():
+        return out
+    return out.unionByName(hit.filter(F.col(kept) & F.col(many)).dropDuplicates([one, two]).select(columns))
