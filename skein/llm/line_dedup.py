@@ -63,9 +63,9 @@ def _most(parts: int) -> Column:
     """Words that classes a and b can share at most: a bit that only one has stands for a word that the other lacks."""
 
     def lacking(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"m{q}{x}").bitwiseAND(F.bitwise_not(F.col(f"m{q}{y}")))) for q in range(parts)), F.lit(0))
+        return sum((F.bit_count(F.col(f"{x}.m{q}").bitwiseAND(F.bitwise_not(F.col(f"{y}.m{q}")))) for q in range(parts)), F.lit(0))
 
-    return F.least(F.col("na") - lacking("a", "b"), F.col("nb") - lacking("b", "a"))
+    return F.least(F.col("a.n") - lacking("a", "b"), F.col("b.n") - lacking("b", "a"))
 
 
 def _sizes(n: Column, m: Column, percent: int) -> Column:
@@ -117,16 +117,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cols = ["c", "n", "p", "m0", "m1"]
     once = fit.filter(copied).groupBy("c").agg(F.min(F.struct("here", *cols[1:])).alias("x")).select("c", *[f"x.{x}" for x in cols[1:]])
     index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
-    left, right = (index.select(*[F.col(x).alias(x + side) for x in ("w", "c", "n", "m0", "m1", "i")]) for side in "ab")
-    overlap = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    # both sides are the same plan, names included, so that one exchange serves them
+    overlap = F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     near = (
-        (F.col("wa") == F.col("wb"))
-        & (F.col("ca") != F.col("cb"))
-        & _sizes(F.col("na"), F.col("nb"), percent)
-        & (_most(2) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
-        & (overlap * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
+        (F.col("a.w") == F.col("b.w"))
+        & (F.col("a.c") != F.col("b.c"))
+        & _sizes(F.col("a.n"), F.col("b.n"), percent)
+        & (_most(2) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+        & (overlap * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
     )
-    met = scratch.write(left.join(right, near, "left_semi").select(F.col("wa").alias("w"), F.col("ca").alias("c")), "line-met")
+    met = scratch.write(index.alias("a").join(index.alias("b"), near, "left_semi").select("w", "c"), "line-met")
 
     # whole sets of those classes, from the places where they first stand
     named = scratch.write(met.select("c").distinct(), "line-named")
@@ -139,15 +139,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 256 parts tell more than 128; of the words that two classes share, only the rarest is where they meet
     wide = ["n", *[f"m{q}" for q in range(4)], "p"]
     shown = met.join(sets.withColumn("p", F.slice("s", 1, prefix)).select("c", *wide), "c")
-    left, right = (shown.select(*[F.col(x).alias(x + side) for x in ("w", "c", *wide)]) for side in "ab")
     near = (
-        (F.col("wa") == F.col("wb"))
-        & (F.col("ca") != F.col("cb"))
-        & _sizes(F.col("na"), F.col("nb"), percent)
-        & (_most(4) * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent))
-        & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("wa"))
+        (F.col("a.w") == F.col("b.w"))
+        & (F.col("a.c") != F.col("b.c"))
+        & _sizes(F.col("a.n"), F.col("b.n"), percent)
+        & (_most(4) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+        & (F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.w"))
     )
-    met = scratch.write(left.join(right, near, "left_semi").select(F.col("wa").alias("w"), F.col("ca").alias("c")), "line-likely")
+    met = scratch.write(shown.alias("a").join(shown.alias("b"), near, "left_semi").select("w", "c"), "line-likely")
 
     # each class against the blocks of those that meet it at a word; links are counted, not made
     parts = met.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
