@@ -1,10 +1,10 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame operations only.
 
 A line's set holds its distinct words: what blanks (space, tab, CR, form feed, vertical tab)
-separate, in lower case.  Lines with one set are one class.  Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over all words, whose
-size does not depend on the data.  Two sets as similar as asked share a word among their
+separate, in lower case.  Lines with one set are one class.  Texts are split and hashed once; all else reads the hashes.
+Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over the words of all lines, whose size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
-and positional filter), as do 128-bit bitmaps of the sets.
+and positional filter), as do 64-bit bitmaps of the sets.
 
 No step makes a row for each pair.  Semi-joins leave the (word, class) rows at which some other class
 may be similar, first by these filters, then by wider bitmaps and only where the word is the rarest that both share.
@@ -39,14 +39,19 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def _ordered(line: Column, ranks: Column) -> Column:
-    """Distinct words as numbers, rarest first: the rank of a word's counter above the other bits of its hash."""
+def _hashes(line: Column) -> Column:
+    """Distinct words as hashes, in ascending order."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))))
+
+
+def _rarest_first(hashes: Column, ranks: Column) -> Column:
+    """Words as numbers, rarest first: the rank of a word's counter above the other bits of its hash."""
 
     def code(h: Column) -> Column:
-        return F.get(ranks, _bucket(h).cast("int")) + F.shiftrightunsigned(h, 64 - _KEEP)
+        # every bucket has a rank; elements that cannot be null are sorted as plain longs
+        return F.coalesce(F.get(ranks, _bucket(h).cast("int")), F.lit(0)) + F.shiftrightunsigned(h, 64 - _KEEP)
 
-    words = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(words, code))
+    return F.sort_array(F.transform(hashes, code))
 
 
 def _bitmap(s: Column, part: int, parts: int) -> Column:
@@ -54,6 +59,8 @@ def _bitmap(s: Column, part: int, parts: int) -> Column:
 
     def add(acc: Column, x: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        if parts == 1:
+            return acc.bitwiseOR(bit)
         return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1)) == part, acc.bitwiseOR(bit)).otherwise(acc)
 
     return F.aggregate(s, F.lit(0).cast("long"), add)
@@ -92,38 +99,36 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result.  Other columns are ignored.  Classes are told apart by 64-bit hashes of their sets.
     """
     base = own_columns(docs, id_col, text_col).toDF("_id", "_text").select("_id", F.xxhash64("_text").alias("_h"), _plain(F.coalesce("_text", F.lit(""))).alias("_text"))
-    counts = base.select(F.explode(F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
-    seen = {r["b"]: r["count"] for r in counts.collect()}  # BUCKETS rows at most
-    order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))
-    rank = [0] * BUCKETS
-    for i, b in enumerate(order):
-        rank[b] = i
-    ranks = F.split(F.lit(",".join(str(r << _KEEP) for r in rank)), ",").cast("array<bigint>")
-
     lines = base.select("_id", "_h", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
     n = F.col("n")
     prefix = (n - F.ceil(n * percent / 100) + 1).cast("int")
     able = n * 100 >= (n + 1) * percent  # else only an equal set is similar enough
     at = F.struct("_id", "_h", "_no")
-    full = lines.select("_id", "_h", "_no", _ordered(F.col("_line"), ranks).alias("s")).select("_id", "_h", "_no", F.size("s").alias("n"), "s")
-    full = full.select("_id", "_h", "_no", "n", F.when(n > 0, F.xxhash64("s")).alias("c"), "s", *[F.when(able, _bitmap(F.col("s"), q, 2)).alias(f"m{q}") for q in range(2)])
+    full = lines.select("_id", "_h", "_no", _hashes(F.col("_line")).alias("s")).select("_id", "_h", "_no", F.size("s").alias("n"), F.when(F.size("s") > 0, F.xxhash64("s")).alias("c"), "s")
     # words come again and again: with a dictionary for a whole file a set takes a third of the room
     full = scratch.write(full, "lines", **{"parquet.dictionary.page.size": 16 << 20})
+    counts = full.select(F.explode("s").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
+    seen = {r["b"]: r["count"] for r in counts.collect()}  # BUCKETS rows at most
+    order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))
+    rank = [0] * BUCKETS
+    for i, b in enumerate(order):
+        rank[b] = i
+    ranks = F.split(F.lit(",".join(str(r << _KEEP) for r in rank)), ",").cast("array<bigint>")
     classes = scratch.write(full.filter("c is not null").groupBy("c").agg(F.min(at).alias("at"), F.count("*").alias("copies")), "line-classes")
 
     # classes that some other class may be similar to, at each word of their prefix where one is met
     copied = prune.tester(classes.filter("copies > 1").select("c"))(F.col("c"))
-    fit = full.filter(able & (n > 0)).select("c", at.alias("here"), "n", F.slice("s", 1, prefix).alias("p"), "m0", "m1")
-    cols = ["c", "n", "p", "m0", "m1"]
+    fit = full.filter(able & (n > 0)).select("c", at.alias("here"), "n", F.slice(_rarest_first(F.col("s"), ranks), 1, prefix).alias("p"), _bitmap(F.col("s"), 0, 1).alias("m0"))
+    cols = ["c", "n", "p", "m0"]
     once = fit.filter(copied).groupBy("c").agg(F.min(F.struct("here", *cols[1:])).alias("x")).select("c", *[f"x.{x}" for x in cols[1:]])
-    index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
+    index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", F.posexplode("p").alias("i", "w"))
     # both sides are the same plan, names included, so that one exchange serves them
     overlap = F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     near = (
         (F.col("a.w") == F.col("b.w"))
         & (F.col("a.c") != F.col("b.c"))
         & _sizes(F.col("a.n"), F.col("b.n"), percent)
-        & (_most(2) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+        & (_most(1) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
         & (overlap * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
     )
     met = scratch.write(index.alias("a").join(index.alias("b"), near, "left_semi").select("w", "c"), "line-met")
@@ -131,12 +136,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # whole sets of those classes, from the places where they first stand
     named = scratch.write(met.select("c").distinct(), "line-named")
     held = prune.may_join(full.select("c", at.alias("here"), "n", "s"), "c", named).groupBy("c").agg(F.min(F.struct("here", "n", "s")).alias("x"))
-    sets = held.join(named, "c", "left_semi").select("c", F.col("x.here").alias("at"), "x.n", "x.s")
+    sets = held.join(named, "c", "left_semi").select("c", F.col("x.here").alias("at"), "x.n", _rarest_first(F.col("x.s"), ranks).alias("s"))
     sets = scratch.write(sets.select("c", "at", "n", "s", *[_bitmap(F.col("s"), q, 4).alias(f"m{q}") for q in range(4)]), "line-sets")
     places = scratch.write(full.select("_id", "_h", "_no", "c"), "line-places")
     scratch.drop(full)
 
-    # 256 parts tell more than 128; of the words that two classes share, only the rarest is where they meet
+    # 256 parts tell more than 64; of the words that two classes share, only the rarest is where they meet
     wide = ["n", *[f"m{q}" for q in range(4)], "p"]
     shown = met.join(sets.withColumn("p", F.slice("s", 1, prefix)).select("c", *wide), "c")
     near = (
