@@ -4,7 +4,7 @@ A line's set holds its distinct words: what blanks (space, tab, CR, form feed, v
 separate, in lower case.  Lines with one set are one class.  Texts are split and hashed once; all else reads the hashes.
 Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over the words of all lines, whose size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
-and positional filter), as do 64-bit bitmaps of the sets.
+and positional filter), as do 128-bit bitmaps of the sets.
 
 No step makes a row for each pair.  Semi-joins leave the (word, class) rows at which some other class
 may be similar, first by these filters, then by wider bitmaps and only where the word is the rarest that both share.
@@ -59,8 +59,6 @@ def _bitmap(s: Column, part: int, parts: int) -> Column:
 
     def add(acc: Column, x: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        if parts == 1:
-            return acc.bitwiseOR(bit)
         return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1)) == part, acc.bitwiseOR(bit)).otherwise(acc)
 
     return F.aggregate(s, F.lit(0).cast("long"), add)
@@ -118,17 +116,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # classes that some other class may be similar to, at each word of their prefix where one is met
     copied = prune.tester(classes.filter("copies > 1").select("c"))(F.col("c"))
-    fit = full.filter(able & (n > 0)).select("c", at.alias("here"), "n", F.slice(_rarest_first(F.col("s"), ranks), 1, prefix).alias("p"), _bitmap(F.col("s"), 0, 1).alias("m0"))
-    cols = ["c", "n", "p", "m0"]
+    fit = full.filter(able & (n > 0)).select("c", at.alias("here"), "n", F.slice(_rarest_first(F.col("s"), ranks), 1, prefix).alias("p"), *[_bitmap(F.col("s"), q, 2).alias(f"m{q}") for q in range(2)])
+    cols = ["c", "n", "p", "m0", "m1"]
     once = fit.filter(copied).groupBy("c").agg(F.min(F.struct("here", *cols[1:])).alias("x")).select("c", *[f"x.{x}" for x in cols[1:]])
-    index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", F.posexplode("p").alias("i", "w"))
+    index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
     # both sides are the same plan, names included, so that one exchange serves them
     overlap = F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     near = (
         (F.col("a.w") == F.col("b.w"))
         & (F.col("a.c") != F.col("b.c"))
         & _sizes(F.col("a.n"), F.col("b.n"), percent)
-        & (_most(1) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+        & (_most(2) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
         & (overlap * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
     )
     met = scratch.write(index.alias("a").join(index.alias("b"), near, "left_semi").select("w", "c"), "line-met")
@@ -141,7 +139,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = scratch.write(full.select("_id", "_h", "_no", "c"), "line-places")
     scratch.drop(full)
 
-    # 256 parts tell more than 64; of the words that two classes share, only the rarest is where they meet
+    # 256 parts tell more than 128; of the words that two classes share, only the rarest is where they meet
     wide = ["n", *[f"m{q}" for q in range(4)], "p"]
     shown = met.join(sets.withColumn("p", F.slice("s", 1, prefix)).select("c", *wide), "c")
     near = (
