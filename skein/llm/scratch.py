@@ -13,6 +13,7 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _LIVE: dict[str, weakref.ref] = {}
 
@@ -35,10 +36,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def write(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and returns the table read back."""
+    """Writes ``df`` as Parquet to the shared folder and returns the table read back.
+
+    Shuffle files of the write go when it is done: what comes later reads the table, not them.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._skein_path = path
     return table
