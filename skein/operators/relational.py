@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.functions.lists import gather
 
+#: Rows of one block of :func:`lower_triangle`, and pairs of rows for each of its tasks.
+BLOCK, PAIRS = 512, 1 << 22
+
 
 def collect_ordered(df: DataFrame, by: Sequence[str], order: Sequence[str], **lists: Column) -> DataFrame:
     """One row per group with ordered lists.  One shuffle and one sort; a group's lists are values, so groups must fit a row."""
@@ -31,16 +35,47 @@ def add_missing(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     return df.unionByName(reference.join(df.select(key).distinct(), key, "left_anti").select(df.columns))
 
 
-def lower_triangle(df: DataFrame, index: str, value: str, within: str, score, least: Column | None = None) -> DataFrame:
+def lower_triangle(df: DataFrame, index: str, value: str, within: str, score, least: Column | None = None, repeated: bool = False) -> DataFrame:
     """Pairs (i, j), j <= i, inside each group, with their mirror images.
 
-    The equi-key ``within`` keeps this a hash join; a group gives as many pairs as half the square of its size.
+    A group gives as many rows as the square of its size.  Its rows are dealt into blocks of about ``BLOCK``, a pair of
+    blocks is a key of the join, and the number of tasks, one for each ``PAIRS`` pairs at least, is taken from a count when the
+    plan is made: what a task holds and makes does not grow with the groups.  Rows without group or index give none.
+
+    With ``repeated``, values recur: each two of them that meet in a group are scored once for each order, and rows meet only
+    where ``least`` leaves an element; each row is held against blocks of those with one value.
     """
-    a, b = df.select(F.col(within), F.col(index).alias("i"), F.col(value).alias("vi")), df.select(F.col(within), F.col(index).alias("j"), F.col(value).alias("vj"))
-    pairs = a.join(b, within).filter("j <= i").select(within, "i", "j", score(F.col("vi"), F.col("vj")).alias("element"))
-    if least is not None:
-        pairs = pairs.filter(F.abs("element") > least)
-    return pairs.unionByName(pairs.filter("i <> j").select(within, F.col("j").alias("i"), F.col("i").alias("j"), "element"))
+    kind = [F.struct(F.col(value).alias("v")).alias("kind")] if repeated else []  # a struct, so that null is equal to null
+    rows = df.select(F.col(within), F.col(index).alias("at"), F.col(value).alias("v"), *kind).filter(F.col(within).isNotNull() & F.col("at").isNotNull())
+    pairs = rows.groupBy(within).count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0
+    tasks = max(1, math.ceil(pairs / PAIRS))
+    by = [within, "kind"] if repeated else [within]
+    parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    # rows are spread before each is repeated for all blocks that it meets
+    dealt = rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int")).repartition(tasks, "at")
+    others = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    lower = F.col("j") <= F.col("i")
+    if repeated:
+        kinds = (parts.withColumnsRenamed({"kind": f"kind_{x}", "parts": f"parts_{x}"}) for x in "ij")
+        met = next(kinds).join(next(kinds), within).drop("parts_i")
+        scores = [score(F.col(f"kind_{x}.v"), F.col(f"kind_{y}.v")).alias(name) for x, y, name in (("i", "j", "down"), ("j", "i", "up"))]
+        # a generated row is made once; a filter on plain columns would move to where the pairs still repeat
+        told = met.select("kind_i", "kind_j").distinct().repartition(tasks, "kind_i", "kind_j").select("*", F.inline(F.array(F.struct(*scores))))
+        if least is not None:
+            told = told.filter((F.abs("down") > least) | (F.abs("up") > least))
+        met = met.join(told, ["kind_i", "kind_j"])
+        on = [within, "kind_j", "part_j"]
+        one = dealt.select(within, F.col("kind").alias("kind_i"), F.col("at").alias("i")).join(met, [within, "kind_i"]).select(within, "kind_j", others("parts_j").alias("part_j"), "i", "down", "up")
+        two = dealt.select(within, F.col("kind").alias("kind_j"), F.col("part").alias("part_j"), F.col("at").alias("j"))
+        element = F.when(lower, F.col("down")).otherwise(F.col("up"))
+    else:
+        on = [within, "part_i", "part_j"]
+        one = dealt.select(within, F.col("part").alias("part_i"), others("parts").alias("part_j"), F.col("at").alias("i"), F.col("v").alias("vi"))
+        two = dealt.select(within, others("parts").alias("part_i"), F.col("part").alias("part_j"), F.col("at").alias("j"), F.col("v").alias("vj"))
+        element = score(F.when(lower, F.col("vi")).otherwise(F.col("vj")), F.when(lower, F.col("vj")).otherwise(F.col("vi")))
+    # merged, not broadcast or built in memory: both sides grow with the input
+    out = one.repartition(tasks, *on).join(two.repartition(tasks, *on).hint("merge"), on).select(within, "i", "j", element.alias("element"))
+    return out if least is None else out.filter(F.abs("element") > least)
 
 
 def summed_terms(df: DataFrame, term: Sequence[str], weight: str, least: float) -> DataFrame:

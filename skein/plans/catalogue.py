@@ -457,12 +457,13 @@ def _after(bits: str, places: str) -> str:
        SELECT nation, i, j, round(element, 9) + 0.0 AS element FROM e WHERE abs(element) > 1e-10 UNION ALL SELECT nation, j, i, round(element, 9) + 0.0 FROM e WHERE i <> j AND abs(element) > 1e-10""")
 def matrix_elements(spark, sf_dir):
     n = 4
-    one = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: 1.0 / (1 + F.abs(F.floor(k / n) - k % n)))
-    place = lambda k, d: F.floor(k / n**d) % n
-    two = F.transform(F.sequence(F.lit(0), F.lit(n**4 - 1)), lambda k: 1.0 / (2 + place(k, 3) + 2 * place(k, 2) + 3 * place(k, 1) + 5 * place(k, 0)))
+    # literals: an array made by an expression would be made anew at each look into it
+    place = lambda k, d: k // n**d % n
+    one = F.array(*[F.lit(1.0 / (1 + abs(place(k, 1) - place(k, 0)))) for k in range(n**2)])
+    two = F.array(*[F.lit(1.0 / (2 + place(k, 3) + 2 * place(k, 2) + 3 * place(k, 1) + 5 * place(k, 0))) for k in range(n**4)])
     bits = F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: F.call_function("shiftright", F.col("s_suppkey").cast("int"), 7 - i).bitwiseAND(F.lit(1)))
     s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", bits.alias("v"))
-    out = R.lower_triangle(s, "s_suppkey", "v", "nation", lambda a, b: R.matrix_element(a, b, one, two, n, 0.5), F.lit(1e-10))
+    out = R.lower_triangle(s, "s_suppkey", "v", "nation", lambda a, b: R.matrix_element(a, b, one, two, n, 0.5), F.lit(1e-10), repeated=True)
     return out.withColumn("element", F.round("element", 9) + 0.0)
 
 

@@ -212,6 +212,45 @@ def test_matrix_elements_by_operators(spark):
         assert abs(r.e - want) < 1e-9, (r, want)
 
 
+def _square(rows, score, least):
+    """Pairs of one group by plain loops; lower triangle and mirror images."""
+    out = []
+    for g, i, v in rows:
+        for h, j, w in rows:
+            if g == h and None not in (g, i, j, v, w) and j <= i and abs(score(v, w)) > least:
+                out += [(g, i, j, score(v, w))] + ([(g, j, i, score(v, w))] if i != j else [])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_pairs_in_blocks_are_all_pairs(spark, monkeypatch, repeated):
+    import random
+
+    monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(R, "PAIRS", 100)
+    rng = random.Random(9)
+    rows = [(rng.choice((1, 2, None)), rng.choice((i, i, 5, None)), rng.choice((-3, -1, 0, 2, 4, None))) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, k long, v long")
+    got = R.lower_triangle(df, "k", "v", "g", lambda a, b: 2 * a - b, F.lit(1), repeated=repeated)
+    want = _square(rows, lambda a, b: 2 * a - b, 1)
+    assert len(want) > 400 and sorted(tuple(r) for r in got.collect()) == want
+    empty = R.lower_triangle(df.filter("false"), "k", "v", "g", lambda a, b: a, F.lit(1), repeated=repeated)
+    assert empty.collect() == []
+
+
+def test_repeated_values_are_scored_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def score(a, b):
+        calls.add(1)
+        return 10 * a - b
+
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), "id", F.floor(F.col("id") % 8 / 2).alias("v"))
+    made = R.lower_triangle(df, "id", "v", "g", score, F.lit(5), repeated=True)
+    assert made.count() > 30_000 and calls.value <= 4 * 4 * 2
+
+
 def test_greedy_goes_on_to_the_end(spark):
     import random
 
