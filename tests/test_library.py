@@ -238,6 +238,15 @@ def test_pairs_in_blocks_are_all_pairs(spark, monkeypatch, repeated):
     assert empty.collect() == []
 
 
+def test_pairs_of_one_group_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(R, "PAIRS", 10_000, raising=False)
+    df = spark.createDataFrame([(1, i, i % 90) for i in range(1000)], "g int, id long, v long")
+    made = R.lower_triangle(df, "id", "v", "g", lambda a, b: a + b)
+    tasks = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 1_000_000 and max(tasks) <= 100_000
+
+
 def test_repeated_values_are_scored_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
