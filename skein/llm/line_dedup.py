@@ -14,6 +14,8 @@ compared inside the row, and the row gives a count.  Each pair meets at one word
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.llm import prune, scratch
@@ -24,6 +26,8 @@ THRESHOLD = 85
 BUCKETS = 65536
 #: Members of one block of the last step.
 BLOCK = 256
+#: Shares of the words that the index is shuffled in, one after the other.
+SHARES = 4
 _KEEP = 63 - (BUCKETS - 1).bit_length()
 
 
@@ -119,8 +123,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fit = full.filter(able & (n > 0)).select("c", at.alias("here"), "n", F.slice(_rarest_first(F.col("s"), ranks), 1, prefix).alias("p"), *[_bitmap(F.col("s"), q, 2).alias(f"m{q}") for q in range(2)])
     cols = ["c", "n", "p", "m0", "m1"]
     once = fit.filter(copied).groupBy("c").agg(F.min(F.struct("here", *cols[1:])).alias("x")).select("c", *[f"x.{x}" for x in cols[1:]])
-    index = fit.filter(~copied).select(cols).unionByName(once).select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
-    # both sides are the same plan, names included, so that one exchange serves them
+    fit = scratch.write(fit.filter(~copied).select(cols).unionByName(once), "line-prefixes")
+    index = fit.select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
     overlap = F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     near = (
         (F.col("a.w") == F.col("b.w"))
@@ -129,7 +133,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         & (_most(2) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
         & (overlap * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
     )
-    met = scratch.write(index.alias("a").join(index.alias("b"), near, "left_semi").select("w", "c"), "line-met")
+    first = []
+    for share in range(SHARES):
+        # both sides are the same plan, names included, so that one exchange serves them; it goes before the next share comes
+        words = index.filter(F.pmod("w", F.lit(SHARES)) == share)
+        first.append(scratch.write(words.alias("a").join(words.alias("b"), near, "left_semi").select("w", "c"), "line-met"))
+    scratch.drop(fit)
+    met = functools.reduce(DataFrame.unionByName, first)
 
     # whole sets of those classes, from the places where they first stand
     named = scratch.write(met.select("c").distinct(), "line-named")
@@ -150,6 +160,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         & (F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.w"))
     )
     met = scratch.write(shown.alias("a").join(shown.alias("b"), near, "left_semi").select("w", "c"), "line-likely")
+    scratch.drop(*first)
 
     # each class against the blocks of those that meet it at a word; links are counted, not made
     parts = met.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))

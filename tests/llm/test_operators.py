@@ -364,6 +364,20 @@ def test_repeated_lines_at_85(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out.collect()} == want
 
 
+def test_the_index_of_lines_goes_in_shares(spark, monkeypatch):
+    """No write shuffles the whole index, and the shares give all pairs."""
+    monkeypatch.setattr(line_dedup, "SHARES", 3)
+    written, write = [], line_dedup.scratch.write
+    monkeypatch.setattr(line_dedup.scratch, "write", lambda df, name, **options: (written.append(name), write(df, name, **options))[1])
+    rng = random.Random(85)
+    base = [rng.sample(WORDS, 30) for _ in range(4)]
+    rows = [(i, " ".join([*base[i % 4][: 30 - i % 5], *(f"v{i}x{k}" for k in range(i % 5))])) for i in range(40)]
+    want = brute.lines(rows)
+    out = line_dedup.repeated_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out} == want
+    assert written.count("line-met") == 3 and max(x[2] for x in want.values()) > 3
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_large_families_of_lines(spark, monkeypatch, block):
     """Every pair of a family is a link; families larger than a block, and links that do not reach all members."""
