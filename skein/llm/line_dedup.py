@@ -4,11 +4,11 @@ A line's set holds its distinct words: what blanks (space, tab, CR, form feed, v
 separate, in lower case.  Lines with one set are one class.  Texts are split and hashed once; all else reads the hashes.
 Words are ordered by rarity, by way of a table of ``BUCKETS`` counters over the words of all lines, whose size does not depend on the data.  Two sets as similar as asked share a word among their
 few rarest ones (prefix filter); sizes and the places of that word bound the overlap (length
-and positional filter), as do 128-bit sketches of how the words spread over ranges of hashes.
+and positional filter), as do 128-bit bitmaps of the sets.
 
-No step makes a row for each pair.  Semi-joins leave the classes that some other class may be similar to by these filters,
-then the (word, class) rows of theirs at which one is met, only where the word is the rarest that both share.
-What is left meets by word in blocks of bounded size: a class is held against a whole block by sketches and then by whole sets
+No step makes a row for each pair.  Semi-joins leave the (word, class) rows at which some other class
+may be similar, first by these filters, then by wider bitmaps and only where the word is the rarest that both share.
+What is left meets by word in blocks of bounded size: a class is held against a whole block by bitmaps and then by whole sets
 inside the row, and the row gives a count.  Each pair meets at one word, so that counts add up.
 """
 
@@ -68,35 +68,24 @@ def _levels(seen: dict[int, int]) -> Column:
     return F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
 
 
-def _with_sketch(df: DataFrame) -> DataFrame:
-    """``df`` with v0 and v1 from the words ``s``: how many fall to each of 16 ranges of hashes, in 8 bits each.
+def _bitmap(s: Column, part: int, parts: int) -> Column:
+    """One bit for each of 64 shares of the words that fall to ``part``, set where the set has any of them."""
 
-    A number stands modulo 16 on a ring of 16 codes, of which neighbours differ in one bit: bits that
-    differ are at most the words that only one of two sets has.
-    """
-    names, step = df.columns, 1 << 60
-    bounds = [F.lit(i * step) for i in range(-7, 8)]
-    df = df.select(*names, F.sort_array(F.concat("s", F.array(*bounds))).alias("_t"))
-    df = df.select(*names, F.size("_t").cast("long").alias("_b16"), *[F.array_position("_t", x).alias(f"_b{i}") for i, x in enumerate(bounds, 1)])
-    ring = F.array(*[F.lit((1 << i) - 1 if i <= 8 else 255 ^ ((1 << (i - 8)) - 1)).cast("long") for i in range(16)])
-
-    def code(i: int) -> Column:
-        # between two bounds; the last range ends with the list
-        words = F.col(f"_b{i + 1}") - (F.col(f"_b{i}") if i else 0) - (0 if i == 15 else 1)
-        return F.shiftleft(F.get(ring, words.bitwiseAND(F.lit(15)).cast("int")), 8 * (i % 8))
+    def add(acc: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1)) == part, acc.bitwiseOR(bit)).otherwise(acc)
 
-    return df.select(*names, *[functools.reduce(Column.bitwiseOR, [code(8 * v + i) for i in range(8)]).alias(f"v{v}") for v in range(2)])
+    return F.aggregate(s, F.lit(0).cast("long"), add)
 
 
-def _apart(a, b) -> Column:
-    """A bound from below of the words that only one of two sets has; ``a`` and ``b`` give a column by its name."""
-    return F.bit_count(a("v0").bitwiseXOR(b("v0"))) + F.bit_count(a("v1").bitwiseXOR(b("v1")))
+def _most(parts: int, a="a", b="b") -> Column:
+    """Words that classes a and b can share at most: a bit that only one has stands for a word that the other lacks."""
+    of = lambda x, name: F.col(f"{x}.{name}") if isinstance(x, str) else x[name]
 
+    def lacking(x, y) -> Column:
+        return sum((F.bit_count(of(x, f"m{q}").bitwiseAND(F.bitwise_not(of(y, f"m{q}")))) for q in range(parts)), F.lit(0))
 
-def _close(a, b, percent: int) -> Column:
-    """Whether sets of these sizes and sketches can be similar at all."""
-    n, m = a("n"), b("n")
-    return _sizes(n, m, percent) & ((n + m - _apart(a, b)) * (100 + percent) >= _need(n, m, percent) * 2)
+    return F.least(of(a, "n") - lacking(a, b), of(b, "n") - lacking(b, a))
 
 
 def _sizes(n: Column, m: Column, percent: int) -> Column:
@@ -128,8 +117,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefix = (n - F.ceil(n * percent / 100) + 1).cast("int")
     able = n * 100 >= (n + 1) * percent  # else only an equal set is similar enough
     at = F.struct("_id", "_h", "_no")
-    full = _with_sketch(lines.select("_id", "_h", "_no", _hashes(F.col("_line")).alias("s")))
-    full = full.select("_id", "_h", "_no", F.size("s").alias("n"), F.when(F.size("s") > 0, F.xxhash64("s")).alias("c"), "v0", "v1", "s")
+    full = lines.select("_id", "_h", "_no", _hashes(F.col("_line")).alias("s")).select("_id", "_h", "_no", F.size("s").alias("n"), F.when(F.size("s") > 0, F.xxhash64("s")).alias("c"), "s")
     # words come again and again: with a dictionary for a whole file a set takes a third of the room
     full = scratch.write(full, "lines", **{"parquet.dictionary.page.size": 16 << 20})
     places = full.select("_id", "_h", "_no", "c")
@@ -139,55 +127,71 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = prune.tester(many)(F.col("c"))
     firsts = places.filter(copied).groupBy("c").agg(F.min(at).alias("at"), F.count("*").alias("copies")).filter("copies > 1").select("c", "at")
 
-    # classes that some other class may be similar to, at some word of their prefixes
-    cols = ["c", "n", "v0", "v1", "p"]
-    fit = full.filter(able & (n > 0)).select(*cols[:4], F.slice(_rarest_first(F.col("s"), ranks), 1, prefix).alias("p"))
+    # classes that some other class may be similar to, at each word of their prefix where one is met
+    cols = ["c", "n", "p", "m0", "m1"]
+    fit = full.filter(able & (n > 0)).select("c", "n", F.slice(_rarest_first(F.col("s"), ranks), 1, prefix).alias("p"), *[_bitmap(F.col("s"), q, 2).alias(f"m{q}") for q in range(2)])
     once = fit.filter(copied).groupBy("c").agg(F.min(F.struct(*cols[1:])).alias("x")).select("c", "x.*")
     fit = scratch.write(fit.filter(~copied).unionByName(once), "line-prefixes")
-    index = fit.select("c", "n", "v0", "v1", F.posexplode("p").alias("i", "w"))
-    one, two = (lambda name: F.col(f"a.{name}")), (lambda name: F.col(f"b.{name}"))
+    index = fit.select("c", "n", "m0", "m1", F.posexplode("p").alias("i", "w"))
     overlap = F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    meet = (F.col("a.w") == F.col("b.w")) & (F.col("a.c") != F.col("b.c")) & _close(one, two, percent)
-    near = meet & (overlap * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+    near = (
+        (F.col("a.w") == F.col("b.w"))
+        & (F.col("a.c") != F.col("b.c"))
+        & _sizes(F.col("a.n"), F.col("b.n"), percent)
+        & (_most(2) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+        & (overlap * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+    )
     first = []
     for share in range(SHARES):
         # both sides are the same plan, names included, so that one exchange serves them; it goes before the next share comes
         words = index.filter(F.pmod("w", F.lit(SHARES)) == share)
-        first.append(scratch.write(words.alias("a").join(words.alias("b"), near, "left_semi").select("c"), "line-met"))
+        first.append(scratch.write(words.alias("a").join(words.alias("b"), near, "left_semi").select("w", "c"), "line-met"))
     scratch.drop(fit)
+    met = functools.reduce(DataFrame.unionByName, first)
 
     # whole sets of those classes, from the places where they first stand
-    named = scratch.write(functools.reduce(DataFrame.unionByName, first).distinct(), "line-named")
-    scratch.drop(*first)
-    held = prune.may_join(full.select("c", at.alias("here"), "n", "v0", "v1", "s"), "c", named).groupBy("c").agg(F.min(F.struct("here", "n", "v0", "v1", "s")).alias("x"))
-    sets = held.join(named, "c", "left_semi").select("c", F.col("x.here").alias("at"), "x.n", "x.v0", "x.v1", _rarest_first(F.col("x.s"), ranks).alias("s"))
-    sets = scratch.write(sets, "line-sets")
-
-    # of the words that two classes share, only the rarest is where they meet
-    shown = sets.withColumn("p", F.slice("s", 1, prefix)).select("c", "n", "v0", "v1", "p", F.posexplode("p").alias("i", "w"))
-    near = meet & ((F.col("a.i") == 0) | (F.col("b.i") == 0) | (F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.w")))
+    named = scratch.write(met.select("c").distinct(), "line-named")
+    held = prune.may_join(full.select("c", at.alias("here"), "n", "s"), "c", named).groupBy("c").agg(F.min(F.struct("here", "n", "s")).alias("x"))
+    sets = held.join(named, "c", "left_semi").select("c", F.col("x.here").alias("at"), "x.n", _rarest_first(F.col("x.s"), ranks).alias("s"))
+    sets = scratch.write(sets.select("c", "at", "n", "s", *[_bitmap(F.col("s"), q, 4).alias(f"m{q}") for q in range(4)]), "line-sets")
+    firsts = scratch.write(firsts, "line-firsts")
+    places = scratch.write(places, "line-places")
+    scratch.drop(full, many)
+
+    # 256 parts tell more than 128; of the words that two classes share, only the rarest is where they meet
+    wide = ["n", *[f"m{q}" for q in range(4)], "p"]
+    shown = met.join(sets.withColumn("p", F.slice("s", 1, prefix)).select("c", *wide), "c")
+    near = (
+        (F.col("a.w") == F.col("b.w"))
+        & (F.col("a.c") != F.col("b.c"))
+        & _sizes(F.col("a.n"), F.col("b.n"), percent)
+        & (_most(4) * (100 + percent) >= _need(F.col("a.n"), F.col("b.n"), percent))
+        & (F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.w"))
+    )
     met = scratch.write(shown.alias("a").join(shown.alias("b"), near, "left_semi").select("w", "c"), "line-likely")
+    scratch.drop(*first)
 
     # each class against the blocks of those that meet it at a word; links are counted, not made
     parts = met.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     member = met.join(parts, "w").join(sets, "c")
     # rarer words than that, which a pair that meets there cannot share
-    member = scratch.write(member.select("w", "parts", "c", "at", "n", "v0", "v1", F.slice("s", F.lit(1), F.array_position("s", F.col("w")).cast("int") - 1).alias("q"), "s"), "line-members")
-    own = ["c", "at", "n", "v0", "v1", "q", "s"]
+    member = scratch.write(member.select("w", "parts", "c", "at", *wide[:-1], F.slice("s", F.lit(1), F.array_position("s", F.col("w")).cast("int") - 1).alias("q"), "s"), "line-members")
+    own = ["c", "at", *wide[:-1], "q", "s"]
     blocks = member.groupBy("w", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part")).agg(F.collect_list(F.struct(*own)).alias("block"))
     asked = member.select("w", *own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def similar(y: Column) -> Column:
-        common = F.size(F.array_intersect(F.col("s"), y["s"])) * (100 + percent) >= _need(F.col("n"), y["n"], percent)
-        return (y["c"] != F.col("c")) & _close(F.col, lambda name: y[name], percent) & ~F.arrays_overlap(F.col("q"), y["q"]) & common
+        need = _need(F.col("n"), y["n"], percent)
+        likely = _sizes(F.col("n"), y["n"], percent) & (_most(4, me, y) * (100 + percent) >= need) & ~F.arrays_overlap(F.col("q"), y["q"])
+        return (y["c"] != F.col("c")) & likely & (F.size(F.array_intersect(F.col("s"), y["s"])) * (100 + percent) >= need)
 
+    me = {x: F.col(x) for x in wide[:-1]}
     told = asked.join(blocks, ["w", "part"]).select("c", F.transform(F.filter("block", similar), lambda y: y["at"] < F.col("at")).alias("before"))
     told = told.select("c", F.size("before").alias("links"), F.array_contains("before", True).alias("late"))
     linked = scratch.write(told.groupBy("c").agg(F.max("late").alias("late"), F.sum("links").alias("links")).filter("links > 0"), "line-links")
 
     told = scratch.write(firsts.join(linked, "c", "full_outer"), "line-told")
-    places = scratch.write(places, "line-places")
-    scratch.drop(full, many, named, sets, met, member, linked)
+    scratch.drop(firsts, named, sets, met, member, linked)
 
     # lines that are neither copied nor linked only count
     gone = F.coalesce(F.col("late"), F.lit(False)) | F.coalesce(at != F.col("at"), F.lit(False))
