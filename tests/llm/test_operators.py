@@ -378,6 +378,22 @@ def test_the_index_of_lines_goes_in_shares(spark, monkeypatch):
     assert written.count("line-met") == 3 and max(x[2] for x in want.values()) > 3
 
 
+def test_similar_lines_meet_once(spark, monkeypatch):
+    """Classes that share all their rarest words are kept at the first of them, not at each."""
+    met, write = [], line_dedup.scratch.write
+    monkeypatch.setattr(line_dedup.scratch, "write", lambda df, name, **options: (out := write(df, name, **options), name == "line-met" and met.append(out.count()))[0])
+    common = [f"c{i}" for i in range(40)]
+    rows = [(100 + i, "\n".join(" ".join(common[k:] + common[:k]) + f" x{i}y{k}" for k in range(2))) for i in range(5)]
+    for i in range(6):
+        rare = [f"r{i}x{k}" for k in range(30)]
+        rows += [(2 * i, " ".join([*rare, *common[:10]])), (2 * i + 1, " ".join([*rare, *common[1:11]]))]
+    want = brute.lines(rows)
+    assert all(want[i][2] == 1 for i in range(12))
+    out = line_dedup.repeated_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, ",".join(map(str, r.removed))) for r in out} == want
+    assert sum(met) <= 52  # one row for each of the 12 and what the filler leaves, not a whole prefix of 7 each
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_large_families_of_lines(spark, monkeypatch, block):
     """Every pair of a family is a link; families larger than a block, and links that do not reach all members."""
